@@ -8,16 +8,17 @@ repeated results, an empty target gives none.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.columns import col, cols, rename_all
+from tracewell.columns import col, cols
 from tracewell.operators.ordered import as_number
 from tracewell.operators.ranges import range_join
 from tracewell.operators.rows import first_per_key
+from tracewell.plans.steps import sql_step
 
 
 @dataclass(frozen=True)
@@ -88,12 +89,13 @@ def apply_within(
     return joined.select(*cols(source.columns), *cols(bound.columns))
 
 
-def apply_lateral(bound: DataFrame, query: Callable[[], DataFrame]) -> DataFrame:
-    """A correlated subquery per target row; refer to bound columns with `.outer()`."""
-    result = bound.lateralJoin(query())
-    width = len(bound.columns)
-    names = result.columns
-    return rename_all(result, names).select(*cols(names[width:]), *cols(names[:width]))
+def apply_lateral(bound: DataFrame, inputs: Mapping[str, DataFrame], query: str) -> DataFrame:
+    """A correlated SELECT per target row, which refers to parameters as `bound.applied_<name>`.
+
+    Equality conditions on parameters become join keys of one plan.
+    """
+    text = f"SELECT found.*, bound.* FROM bound, LATERAL ({query}) AS found"
+    return sql_step(bound.sparkSession, {**inputs, "bound": bound}, text, functions=False)
 
 
 def unique_output(df: DataFrame, fields: Sequence[str], order_by: Sequence[str]) -> DataFrame:

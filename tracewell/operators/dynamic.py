@@ -5,8 +5,10 @@ equal on all dynamic keys but one), the one with the most unmerged rows, the
 earlier key on ties. The merged row keeps the common keys and lists the values
 of the dropped one. Layers repeat while the number of rows shrinks.
 
-A row's choice depends only on rows it can reach over shared lines, so connected
-components are independent: small ones are solved in batches inside tasks. A
+While all rows together fit the task limit, which is checked, they are solved in
+one task. Beyond it: a row's choice depends only on rows it can reach over shared
+lines, so connected components are independent, and small ones are solved in
+batches inside tasks. A
 component over the task limit is solved by rounds of joins instead. There a row
 may act as soon as it is the smallest unmerged row within two steps: no earlier
 row can then change its lines, so the result is the sequential one. Merging
@@ -48,7 +50,7 @@ def dynamic_aggregate(
     rows = cut_lineage(in_order.select(F.monotonically_increasing_id().alias(ID), *text_keys, *cols(dynamic_spec)))
     size = rows.count()
     while True:
-        merged = cut_lineage(merge_layer(rows, dynamic_keys, dynamic_spec, component_rows))
+        merged = cut_lineage(merge_layer(rows, size, dynamic_keys, dynamic_spec, component_rows))
         merged_size = merged.count()
         if merged_size >= size:
             break
@@ -56,8 +58,8 @@ def dynamic_aggregate(
     return rows.select(*cols(dynamic_keys), *cols(kept), F.lit(True).alias("aggregated"))
 
 
-def merge_layer(rows: DataFrame, keys: Sequence[str], spec: Spec, component_rows: int) -> DataFrame:
-    seeds = assign_seeds(rows, keys, component_rows)
+def merge_layer(rows: DataFrame, size: int, keys: Sequence[str], spec: Spec, component_rows: int) -> DataFrame:
+    seeds = assign_seeds(rows, size, keys, component_rows)
     joined = rows.join(seeds, ID)
     values = [
         F.when(F.col("field") == i, F.array_join(F.sort_array(F.collect_set(F.when(F.col("field") == i, col(k)))), ","))
@@ -90,8 +92,11 @@ def line_edges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return through.join(numbered, ["field", *names]).select(ID, "field", "line", "size")
 
 
-def assign_seeds(rows: DataFrame, keys: Sequence[str], component_rows: int) -> DataFrame:
+def assign_seeds(rows: DataFrame, size: int, keys: Sequence[str], component_rows: int) -> DataFrame:
     """(id, seed, field) for every row."""
+    if size <= component_rows:
+        everything = rows.select(ID, F.lit(0).alias("label"))
+        return solve_in_tasks(line_edges(rows, keys), everything, 1)
     edges = cut_lineage(line_edges(rows, keys))
     # Rows alone on all their lines stay as they are.
     alone = edges.groupBy(ID).agg(F.max("size").alias("most")).where("most = 1")

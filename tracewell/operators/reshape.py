@@ -142,7 +142,7 @@ def parent_child(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 # Line ends: everything that ends a line of text, CR LF as one.
-LINE_END = r"\r\n|[\n\u000B\f\r\u001C-\u001E\u0085  ]"
+LINE_END = r"\r\n|[\n\u000B\f\r\u001C-\u001E\u0085\u2028\u2029]"
 
 
 def matching_lines(df: DataFrame, text: str, word: str, line: str = "line", position: str = "line_no") -> DataFrame:
