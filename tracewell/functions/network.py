@@ -91,7 +91,7 @@ def ip_bits_sql(text: str) -> str:
     The first 1 + n characters are the key of the enclosing /n network.
     """
     v4 = f"concat('4', lpad(bin({ipv4_long_sql(text)}), 32, '0'))"
-    nibbles = f"transform(sequence(0, 7), i -> lpad(conv(substr(h, i * 4 + 1, 4), 16, 2), 16, '0'))"
+    nibbles = "transform(sequence(0, 3), i -> lpad(conv(substr(h, i * 8 + 1, 8), 16, 2), 32, '0'))"
     v6 = f"transform(array({ipv6_hex_sql(text)}), h -> IF(h IS NULL, NULL, concat('6', array_join({nibbles}, ''))))[0]"
     return f"CASE WHEN {is_ipv4_sql(text)} THEN {v4} WHEN {text} LIKE '%:%' THEN {v6} END"
 

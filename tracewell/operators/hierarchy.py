@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.columns import col, cols
+from tracewell.operators.ordered import plan_slices
 from tracewell.operators.ranges import asof_join
 from tracewell.session import cut_lineage
 
@@ -53,22 +54,30 @@ def ancestors(
 ) -> DataFrame:
     """(seed_id, row_id, hierarchy_position): seeds at 0, parents at -1, -2, ...
 
-    A step looks only at processes whose pid is asked for, then takes the last
-    one at or before the child by an as-of pass: no pid gives all its pairs.
+    A step asks once for every distinct (parent pid, child time) and finds the
+    last process with that pid at or before it by an as-of pass over the
+    processes asked for: no pid gives all its pairs. Questions come from table
+    rows, so one check of the pid and parent pid groups covers every step.
     """
     table = _plain(processes, names)
     if not_before is not None:
         table = table.where(F.col("at") >= F.lit(not_before))
-    found = _seed_rows(seeds, names)
     edge = _edge_seed(seeds, names, oldest=True)
+    asked_or_held = _plain(processes, names).select(F.explode(F.array("pid", "parent_pid")).alias("pid"), "at")
+    slices = plan_slices(asked_or_held, ["pid"], "at", rows_per_task)
+    found = _seed_rows(seeds, names)
     for step in range(1, depth + 1):
-        ask = edge.select("seed_id", F.col("parent_pid").alias("pid"), "at").where("pid IS NOT NULL")
+        ask = edge.select(F.col("parent_pid").alias("pid"), "at").where("pid IS NOT NULL").distinct()
         candidates = table.join(ask.select("pid").distinct(), "pid", "left_semi")
         marks = candidates.select("pid", F.col("at").alias("parent_at"), "parent_pid", "row_id")
-        matched = asof_join(ask, marks, ["pid"], "at", "parent_at", ["parent_pid", "parent_at", "row_id"], "row_id", rows_per_task)
-        edge = cut_lineage(
-            matched.where("row_id IS NOT NULL").select("seed_id", "pid", "parent_pid", F.col("parent_at").alias("at"), "row_id")
+        wanted = ["parent_pid", "parent_at", "row_id"]
+        matched = asof_join(ask, marks, ["pid"], "at", "parent_at", wanted, "row_id", slices=slices).where("row_id IS NOT NULL")
+        answer = matched.select(
+            F.col("pid").alias("asked_pid"), F.col("at").alias("asked_at"), "pid", "parent_pid",
+            F.col("parent_at").alias("at"), "row_id",
         )
+        question = edge.select("seed_id", F.col("parent_pid").alias("asked_pid"), F.col("at").alias("asked_at"))
+        edge = cut_lineage(question.join(answer, ["asked_pid", "asked_at"]).drop("asked_pid", "asked_at"))
         found = found.unionByName(edge.select("seed_id", "row_id", F.lit(-step).alias("hierarchy_position")))
     return found
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.columns import attach, col, cols, quote
@@ -12,14 +12,22 @@ from tracewell.functions.network import ip_bits
 
 
 def prefix_keys(prefixes: DataFrame, prefix: str) -> DataFrame:
-    """Add the bit key and length of every valid network; host bits must be 0."""
+    """Add __key (the first 1 + length bits) and __length of every valid network.
+
+    Host bits must be 0. The bits are bound by a lambda and come out of a
+    generator, so that no filter copies the parsing expression.
+    """
     bits = ip_bits(f"split_part({quote(prefix)}, '/', 1)")
-    width = F.length("__bits") - 1
-    length = F.coalesce(F.expr(f"try_cast(nullif(split_part({quote(prefix)}, '/', 2), '') AS INT)"), width)
-    keyed = prefixes.withColumn("__bits", bits).withColumn("__length", length)
-    host_part = F.col("__bits").substr(F.col("__length") + 2, F.lit(128))
-    valid = F.col("__length").between(0, width) & ~F.contains(host_part, F.lit("1"))
-    return keyed.where(valid).withColumn("__key", F.col("__bits").substr(F.lit(1), F.col("__length") + 1)).drop("__bits")
+    written = F.expr(f"try_cast(nullif(split_part({quote(prefix)}, '/', 2), '') AS INT)")
+
+    def network(b: Column) -> Column:
+        width = F.length(b) - 1
+        length = F.coalesce(written, width)
+        valid = length.between(0, width) & ~F.contains(b.substr(length + 2, F.lit(128)), F.lit("1"))
+        return F.when(valid, F.struct(b.substr(F.lit(1), length + 1).alias("__key"), length.alias("__length")))
+
+    networks = F.filter(F.transform(F.array(bits), network), lambda n: n.isNotNull())
+    return prefixes.select("*", F.inline(networks))
 
 
 def enclosing_networks(df: DataFrame, address: str, keyed: DataFrame) -> DataFrame:
@@ -30,15 +38,17 @@ def enclosing_networks(df: DataFrame, address: str, keyed: DataFrame) -> DataFra
     is an equi-join of any size on both sides.
     """
     found = keyed.select(F.left("__key", F.lit(1)).alias("family"), "__length").distinct().collect()
-    by_family = {f: sorted(r["__length"] for r in found if r["family"] == f) for f in ("4", "6")}
+    lengths = {f: sorted(r["__length"] for r in found if r["family"] == f) for f in ("4", "6")}
     distinct = df.select(col(address)).where(col(address).isNotNull()).distinct()
-    bits = distinct.withColumn("__bits", ip_bits(quote(address))).where("__bits IS NOT NULL")
-    lengths = F.when(F.left("__bits", F.lit(1)) == "4", F.array(*[F.lit(n) for n in by_family["4"]]).cast("array<int>")).otherwise(
-        F.array(*[F.lit(n) for n in by_family["6"]]).cast("array<int>")
-    )
-    tried = bits.select(col(address), "__bits", F.explode(lengths).alias("__n"))
-    keys = tried.select(col(address), F.col("__bits").substr(F.lit(1), F.col("__n") + 1).alias("__key"))
-    return keys.join(keyed, "__key")
+
+    def keys(b: Column) -> Column:
+        of_family = [F.array(*[F.lit(n) for n in lengths[f]]).cast("array<int>") for f in ("4", "6")]
+        tried = F.when(F.startswith(b, F.lit("4")), of_family[0]).otherwise(of_family[1])
+        return F.when(b.isNotNull(), F.transform(tried, lambda n: b.substr(F.lit(1), n + 1)))
+
+    bits = ip_bits(quote(address))
+    asked = distinct.select(col(address), F.explode(F.get(F.transform(F.array(bits), keys), F.lit(0))).alias("__key"))
+    return asked.join(keyed, "__key")
 
 
 def longest_prefix(

@@ -172,9 +172,13 @@ def carry_last(
     order_by: Sequence[str],
     values: dict[str, Column],
     rows_per_task: int | None = None,
+    slices: Slices | None = None,
 ) -> DataFrame:
-    """Last non-null value at or before each row, for every named expression."""
-    slices = plan_slices(df, keys, order_by[0], rows_per_task)
+    """Last non-null value at or before each row, for every named expression.
+
+    `slices` may be planned beforehand, from the table the rows come from.
+    """
+    slices = plan_slices(df, keys, order_by[0], rows_per_task) if slices is None else slices
     order = ordering(order_by)
     if not slices.split:
         window = Window.partitionBy(*cols(keys)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.columns import col, cols, quote
-from tracewell.operators.ordered import as_number, carry_last
+from tracewell.operators.ordered import Slices, as_number, carry_last
 
 
 def asof_join(
@@ -21,6 +21,7 @@ def asof_join(
     right_columns: Sequence[str],
     right_tie: str | None = None,
     rows_per_task: int | None = None,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Every left row with the last right row of equal keys at or before its time.
 
@@ -36,7 +37,7 @@ def asof_join(
         *cols(on), col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*cols(left.columns)).alias("__l")
     )
     both = rows.unionByName(marks, allowMissingColumns=True)
-    carried = carry_last(both, on, ["__t", "__side", "__tie"], {"__m": F.col("__r")}, rows_per_task)
+    carried = carry_last(both, on, ["__t", "__side", "__tie"], {"__m": F.col("__r")}, rows_per_task, slices)
     known = reduce(lambda a, b: a & b, [col(k).isNotNull() for k in on], F.lit(True)) & F.col("__t").isNotNull()
     return carried.where(F.col("__side") == 1).select(
         *[F.col("__l").getField(n).alias(n) for n in left.columns],
