@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -218,6 +218,6 @@ def result_counts(results: Mapping[str, DataFrame], shown: Sequence[str] | None
     counts = parts[0]
     for part in parts[1:]:
         counts = counts.unionByName(part)
-    # One row per named result: the window is as small as the list of names.
-    found = counts.groupBy().agg(F.max(F.when(F.col("shown"), F.col("rows_found")).otherwise(0)).alias("__most"))
-    return attach(counts, found, []).select("result", "shown", "rows_found", (F.col("__most") > 0).alias("found"))
+    # The window holds one row per named result.
+    most = F.max(F.when(F.col("shown"), F.col("rows_found")).otherwise(0)).over(Window.partitionBy(F.lit(0)))
+    return counts.select("result", "shown", "rows_found", (most > 0).alias("found"))

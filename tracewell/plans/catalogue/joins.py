@@ -43,11 +43,22 @@ R.sql(
     "SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)",
 )
 R.sql("join_anti", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
-R.sql(
+
+
+@R.query(
     "join_self",
     """SELECT a.event_id, b.event_id AS pair_id FROM events a JOIN events b
        ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR""",
 )
+def join_self(spark, folder):
+    """Pairs of a user's like events within an hour: a range join, so that no
+    user's events are all compared with each other."""
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts")
+    later = events.selectExpr("event_id AS pair_id", "user_id AS u", "event_type AS e", "ts AS later")
+    start = as_number(events, "ts")
+    hour = 3600 * 1e6
+    pairs = range_join(events, later, [("user_id", "u"), ("event_type", "e")], start + F.lit(1.0), start + F.lit(hour), "later", hour)
+    return pairs.select("event_id", "pair_id")
 
 
 @R.query(
