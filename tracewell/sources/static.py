@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,8 @@ class StaticTables:
         kept.write.mode("append").partitionBy("name").parquet(f"{self.root}/rows")
 
     def load_csv(self, path: str, name: str, owner: str, comment: str = "") -> None:
-        rows = self.spark.read.csv(path, header=True, inferSchema=True)
+        # Quotes inside cells are doubled and cells may hold line breaks.
+        rows = self.spark.read.csv(path, header=True, inferSchema=True, escape='"', multiLine=True)
         self.load(rows, name, owner, comment)
 
     def delete(self, name: str) -> None:
@@ -63,7 +66,8 @@ class StaticTables:
             shape = chosen.agg(F.schema_of_variant_agg(F.parse_json("json")).alias("s")).first()["s"]
             if shape is None or not shape.startswith("OBJECT"):
                 raise ValueError(f"there are no rows named {name}")
-            schema = shape.replace("OBJECT<", "STRUCT<")
+            # JSON has one kind of fraction.
+            schema = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", shape.replace("OBJECT<", "STRUCT<"))
         return chosen.select(F.from_json("json", schema).alias("r")).select("r.*")
 
     def catalogue(self) -> DataFrame:
