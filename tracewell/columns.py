@@ -29,14 +29,17 @@ def dtype(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
-def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join on equal keys (null equals null), keeping the left key columns once."""
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", small: bool = False) -> DataFrame:
+    """Join on equal keys (null equals null), keeping the left key columns once.
+
+    `small` broadcasts the right side: only for sides with a proven bound.
+    """
     renamed = {k: f"__right_{i}" for i, k in enumerate(keys)}
     other = right.select(*[col(n).alias(renamed.get(n, n)) for n in right.columns])
     condition = F.lit(True)
     for key, name in renamed.items():
         condition = condition & col(key).eqNullSafe(F.col(name))
-    return left.join(other, condition, how).drop(*renamed.values())
+    return left.join(F.broadcast(other) if small else other, condition, how).drop(*renamed.values())
 
 
 def to_text(df: DataFrame, name: str) -> Column:

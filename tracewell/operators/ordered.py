@@ -1,10 +1,11 @@
 """Ordered operators that do not need one task per group.
 
-A plain window puts a whole group into one task. Here the size of the largest
-group is checked first. While it fits, a plain window runs. Otherwise the order
-column is cut into slices at its quantiles, the window runs per (group, slice),
-and what a slice needs from earlier slices is carried over from a small summary
-with at most one row (or `n` rows) per slice. Both ways give the same rows.
+A plain window puts a whole group into one task. Here group sizes are checked
+first. While the largest fits a task, a plain window runs. Otherwise the groups
+over the limit are cut into slices at quantiles of their order column, the
+window runs per (group, slice), and what a slice needs from the slices before it
+is carried over from a small summary: one row (or `n` rows) per group and slice.
+Groups under the limit stay whole. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -17,23 +18,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.columns import attach, col, cols, dtype, quote
+from tracewell.session import cut_lineage
 from tracewell.session import rows_per_task as session_rows_per_task
 
 SLICE = "__slice"
+HOT = "__hot"
 HALO = "__halo"
 MAX_SLICES = 4096
+# Lists up to these lengths are broadcast: cut groups, and their slices.
+FEW_GROUPS = 10_000
+FEW_ROWS = 500_000
 
 
 @dataclass(frozen=True)
 class Slices:
-    """Ascending cut points of the order column; none means one slice."""
+    """Ascending cut points of the order column; none means that nothing is cut.
+
+    `hot` lists the groups that are cut, at most FEW_GROUPS. Without it every
+    group is cut.
+    """
 
     bounds: tuple[float, ...] = ()
+    hot: DataFrame | None = None
+    groups: int | None = None
 
     @property
     def split(self) -> bool:
         return len(self.bounds) > 0
 
+    @property
+    def few(self) -> bool:
+        """The summary has one row per cut group and slice: is it short?"""
+        return self.groups is not None and self.groups * (len(self.bounds) + 2) <= FEW_ROWS
+
 
 def as_number(df: DataFrame, name: str) -> Column:
     """A monotone number for an order column."""
@@ -53,27 +70,39 @@ def as_number(df: DataFrame, name: str) -> Column:
 def plan_slices(
     df: DataFrame, keys: Sequence[str], order_column: str, rows_per_task: int | None = None
 ) -> Slices:
-    """Check the largest group; cut the order column when it is over the limit.
+    """Find the groups over the limit; cut points come from their rows only.
 
-    The driver gets two counts and at most MAX_SLICES numbers.
+    One counting pass, with partial counts before the shuffle, and two more
+    only when something is cut. The driver gets two numbers and at most
+    MAX_SLICES cut points.
     """
     limit = rows_per_task or session_rows_per_task(df.sparkSession)
-    sizes = df.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias("n"))
-    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    if largest is None or largest <= limit:
-        return Slices()
-    wanted = min(MAX_SLICES, -(-total // limit))
-    if wanted < 2:
+    sizes = df.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+    groups, rows = sizes.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    if not groups:
         return Slices()
+    # The list is used several times, so it is counted once more and kept.
+    hot = cut_lineage(sizes.select(*cols(keys))) if keys and groups <= FEW_GROUPS else None
+    wanted = min(MAX_SLICES, -(-rows // limit))
     shares = [i / wanted for i in range(1, wanted)]
-    number = as_number(df, order_column)
-    cuts = df.select(F.percentile_approx(number, shares, max(10_000, 10 * wanted)).alias("cuts")).first()["cuts"]
-    return Slices(tuple(sorted(set(cuts or ()))))
+    marked = mark_hot(df, keys, hot).where(HOT)
+    number = as_number(marked, order_column)
+    cuts = marked.select(F.percentile_approx(number, shares, max(10_000, 10 * wanted)).alias("cuts")).first()["cuts"]
+    known = groups if hot is not None or not keys else None
+    return Slices(tuple(sorted(set(cuts or ()))), hot, known)
+
+
+def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
+    if hot is None:
+        return df.withColumn(HOT, F.lit(True))
+    marked = attach(df, hot.withColumn(HOT, F.lit(True)), keys, small=True)
+    return marked.withColumn(HOT, F.coalesce(HOT, F.lit(False)))
 
 
-def slice_of(df: DataFrame, order_column: str, slices: Slices) -> Column:
-    """Slice number by binary search over the cut points; nulls get slice -1."""
-    number = as_number(df, order_column)
+def add_slices(df: DataFrame, keys: Sequence[str], order_column: str, slices: Slices) -> DataFrame:
+    """Add HOT and SLICE: found by binary search over the cut points, -1 for nulls, 0 in whole groups."""
+    marked = mark_hot(df, keys, slices.hot)
+    number = as_number(marked, order_column)
 
     def search(low: int, high: int) -> Column:
         if low == high:
@@ -81,7 +110,8 @@ def slice_of(df: DataFrame, order_column: str, slices: Slices) -> Column:
         middle = (low + high) // 2
         return F.when(number < F.lit(slices.bounds[middle]), search(low, middle)).otherwise(search(middle + 1, high))
 
-    return F.when(number.isNull(), F.lit(-1)).otherwise(search(0, len(slices.bounds)))
+    place = F.when(number.isNull(), F.lit(-1)).otherwise(search(0, len(slices.bounds)))
+    return marked.withColumn(SLICE, F.when(F.col(HOT), place).otherwise(F.lit(0)))
 
 
 def ordering(names: Sequence[str], descending: bool = False) -> list[Column]:
@@ -106,10 +136,11 @@ def with_look_back(
     Copies have HALO = true. Windows over (keys, SLICE) that look back at most
     `rows` rows are then exact for the rows with HALO = false.
     """
-    sliced = df.withColumn(SLICE, slice_of(df, order_by[0], slices))
+    sliced = add_slices(df, keys, order_by[0], slices)
     inside = Window.partitionBy(*cols(keys), SLICE).orderBy(*ordering(order_by, not descending))
     tails = (
-        sliced.withColumn("__back", F.row_number().over(inside))
+        sliced.where(HOT)
+        .withColumn("__back", F.row_number().over(inside))
         .where(F.col("__back") <= rows)
         .groupBy(*cols(keys), SLICE)
         .agg(F.collect_list(F.struct(F.col("__back"), F.struct(*cols(df.columns)).alias("row"))).alias("tail"))
@@ -146,8 +177,8 @@ def running_totals(
         window = Window.partitionBy(*cols(keys)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(value).over(window).alias(name) for name, value in totals.items()])
 
-    sliced = df.withColumn(SLICE, slice_of(df, order_by[0], slices))
-    sums = sliced.groupBy(*cols(keys), SLICE).agg(*[F.sum(v).alias(f"__sum_{n}") for n, v in totals.items()])
+    sliced = add_slices(df, keys, order_by[0], slices)
+    sums = sliced.where(HOT).groupBy(*cols(keys), SLICE).agg(*[F.sum(v).alias(f"__sum_{n}") for n, v in totals.items()])
     before = _slice_window(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(
         *cols(keys), SLICE, *[F.sum(f"__sum_{n}").over(before).alias(f"__carry_{n}") for n in totals]
@@ -156,7 +187,7 @@ def running_totals(
         Window.partitionBy(*cols(keys), SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
     local = sliced.select("*", *[F.sum(value).over(inside).alias(f"__local_{n}") for n, value in totals.items()])
-    return attach(local, carried, [*keys, SLICE]).select(
+    return attach(local, carried, [*keys, SLICE], small=slices.few).select(
         *cols(df.columns),
         *[_add(F.col(f"__local_{n}"), F.col(f"__carry_{n}")).alias(n) for n in totals],
     )
@@ -184,9 +215,9 @@ def carry_last(
         window = Window.partitionBy(*cols(keys)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.last(v, ignorenulls=True).over(window).alias(n) for n, v in values.items()])
 
-    sliced = df.withColumn(SLICE, slice_of(df, order_by[0], slices))
+    sliced = add_slices(df, keys, order_by[0], slices)
     position = F.struct(*cols(order_by))
-    lasts = sliced.groupBy(*cols(keys), SLICE).agg(
+    lasts = sliced.where(HOT).groupBy(*cols(keys), SLICE).agg(
         *[F.max_by(v, F.when(v.isNotNull(), position)).alias(f"__last_{n}") for n, v in values.items()]
     )
     before = _slice_window(keys, False).rowsBetween(Window.unboundedPreceding, -1)
@@ -201,7 +232,7 @@ def carry_last(
     local = sliced.select(
         "*", *[F.last(v, ignorenulls=True).over(inside).alias(f"__local_{n}") for n, v in values.items()]
     )
-    return attach(local, carried, [*keys, SLICE]).select(
+    return attach(local, carried, [*keys, SLICE], small=slices.few).select(
         *cols(df.columns),
         *[F.coalesce(F.col(f"__local_{n}"), F.col(f"__carry_{n}")).alias(n) for n in values],
     )
@@ -297,9 +328,11 @@ def moving_range(
         window = Window.partitionBy(*cols(keys)).orderBy(micros).rangeBetween(-width, 0)
         return df.select("*", *[value.over(window).alias(name) for name, value in aggregates.items()])
     span = F.floor(micros / F.lit(width))
-    both = F.array(F.struct(span.alias(SLICE), F.lit(False).alias(HALO)),
-                   F.struct((span + 1).alias(SLICE), F.lit(True).alias(HALO)))
-    spread = df.select("*", F.inline(both))
+    own, copy = F.lit(False).alias(HALO), F.lit(True).alias(HALO)
+    both = F.array(F.struct(span.alias(SLICE), own), F.struct((span + 1).alias(SLICE), copy))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias(SLICE), own))
+    marked = mark_hot(df, keys, slices.hot)
+    spread = marked.select("*", F.inline(F.when(F.col(HOT) & span.isNotNull(), both).otherwise(whole)))
     window = Window.partitionBy(*cols(keys), SLICE).orderBy(micros).rangeBetween(-width, 0)
     return (
         spread.select("*", *[value.over(window).alias(name) for name, value in aggregates.items()])
