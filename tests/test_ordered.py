@@ -112,12 +112,14 @@ def test_median_and_row_number(table, rows, limit):
 @pytest.mark.parametrize("limit", [10_000, 10])
 def test_moving_range(spark, table, rows, limit):
     timed = table.withColumn("at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, t)"))
-    out = moving_range(timed, ["k"], "at", 4, {"n": F.count(F.lit(1)), "m": F.max("id")}, limit)
-    got = {r["id"]: (r["n"], r["m"]) for r in out.collect()}
+    out = moving_range(timed, ["k"], "at", 4, {"n": ("count", F.lit(1)), "m": ("max", F.col("id")), "s": ("sum", F.col("v"))}, limit)
+    assert out.columns == [*timed.columns, "n", "m", "s"]
+    got = {r["id"]: (r["n"], r["m"], r["s"] or 0.0) for r in out.collect()}
+    assert len(got) == len(rows) == out.count()
     key = rows["k"].fillna("?")
     for k, i, t in zip(key, rows["id"], rows["t"]):
         frame = rows[(key == k) & (rows["t"] <= t) & (rows["t"] >= t - 4)]
-        assert got[i] == (len(frame), frame["id"].max())
+        assert got[i] == (len(frame), frame["id"].max(), pytest.approx(frame["v"].sum()))
 
 
 def test_slices_only_for_groups_over_the_limit(table):

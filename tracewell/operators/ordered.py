@@ -162,39 +162,74 @@ def with_look_back(
     return sliced.select(*cols(df.columns), SLICE, F.lit(False).alias(HALO)).unionByName(halo)
 
 
-def running_totals(
+def _add(a: Column, b: Column) -> Column:
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+
+
+# Aggregates that can be put together from parts, and how.
+COMBINE = {"sum": _add, "count": _add, "min": F.least, "max": F.greatest}
+AGGREGATE = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+OVER_PARTS = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
+def running(
     df: DataFrame,
     keys: Sequence[str],
     order_by: Sequence[str],
-    totals: dict[str, Column],
+    aggregates: dict[str, tuple[str, Column]],
     descending: bool = False,
     rows_per_task: int | None = None,
+    peers: bool = False,
+    slices: Slices | None = None,
 ) -> DataFrame:
-    """Running sums, current row included. `order_by` must decide ties."""
-    slices = plan_slices(df, keys, order_by[0], rows_per_task)
+    """Running aggregates {name: (sum, count, min or max, value)}, current row included.
+
+    `order_by` must decide ties, unless `peers` takes in all rows of equal place.
+    `slices` may be planned beforehand, from the table the rows come from.
+    """
+    slices = plan_slices(df, keys, order_by[0], rows_per_task) if slices is None else slices
     order = ordering(order_by, descending)
+
+    def up_to_here(*partition: Column | str):
+        window = Window.partitionBy(*partition).orderBy(*order)
+        frame = window.rangeBetween if peers else window.rowsBetween
+        return frame(Window.unboundedPreceding, Window.currentRow)
+
     if not slices.split:
-        window = Window.partitionBy(*cols(keys)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(value).over(window).alias(name) for name, value in totals.items()])
+        window = up_to_here(*cols(keys))
+        return df.select("*", *[AGGREGATE[fn](value).over(window).alias(n) for n, (fn, value) in aggregates.items()])
 
     sliced = add_slices(df, keys, order_by[0], slices)
-    sums = sliced.where(HOT).groupBy(*cols(keys), SLICE).agg(*[F.sum(v).alias(f"__sum_{n}") for n, v in totals.items()])
+    parts = sliced.where(HOT).groupBy(*cols(keys), SLICE).agg(
+        *[AGGREGATE[fn](value).alias(f"__part_{n}") for n, (fn, value) in aggregates.items()]
+    )
     before = _slice_window(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(
-        *cols(keys), SLICE, *[F.sum(f"__sum_{n}").over(before).alias(f"__carry_{n}") for n in totals]
+    carried = parts.select(
+        *cols(keys),
+        SLICE,
+        *[OVER_PARTS[fn](f"__part_{n}").over(before).alias(f"__carry_{n}") for n, (fn, _) in aggregates.items()],
     )
-    inside = (
-        Window.partitionBy(*cols(keys), SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    window = up_to_here(*cols(keys), SLICE)
+    local = sliced.select(
+        "*", *[AGGREGATE[fn](value).over(window).alias(f"__local_{n}") for n, (fn, value) in aggregates.items()]
     )
-    local = sliced.select("*", *[F.sum(value).over(inside).alias(f"__local_{n}") for n, value in totals.items()])
     return attach(local, carried, [*keys, SLICE], small=slices.few).select(
         *cols(df.columns),
-        *[_add(F.col(f"__local_{n}"), F.col(f"__carry_{n}")).alias(n) for n in totals],
+        *[COMBINE[fn](F.col(f"__local_{n}"), F.col(f"__carry_{n}")).alias(n) for n, (fn, _) in aggregates.items()],
     )
 
 
-def _add(local: Column, carried: Column) -> Column:
-    return F.when(local.isNull(), carried).when(carried.isNull(), local).otherwise(local + carried)
+def running_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    totals: dict[str, Column],
+    descending: bool = False,
+    rows_per_task: int | None = None,
+) -> DataFrame:
+    """Running sums, current row included. `order_by` must decide ties."""
+    sums = {name: ("sum", value) for name, value in totals.items()}
+    return running(df, keys, order_by, sums, descending, rows_per_task)
 
 
 def carry_last(
@@ -313,29 +348,44 @@ def moving_range(
     keys: Sequence[str],
     time_column: str,
     seconds: int,
-    aggregates: dict[str, Column],
+    aggregates: dict[str, tuple[str, Column]],
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Aggregates over the `seconds` before each row, current time included.
+    """Aggregates over the `seconds` before each row, both ends and equal times included.
 
-    A group over the limit is cut by time: every span of `seconds` gets copies
-    of the rows of the span before it, so no group is one task.
+    Time is cut into spans as long as the frame, so a frame is the end of one
+    span and the beginning of the next: two running aggregates, one forward and
+    one backward, whatever the number of rows in a frame. The backward one is
+    read off at markers placed one frame length before each row.
     """
-    slices = plan_slices(df, keys, time_column, rows_per_task)
     width = seconds * 1_000_000
-    micros = as_number(df, time_column).cast("long")
-    if not slices.split:
-        window = Window.partitionBy(*cols(keys)).orderBy(micros).rangeBetween(-width, 0)
-        return df.select("*", *[value.over(window).alias(name) for name, value in aggregates.items()])
-    span = F.floor(micros / F.lit(width))
-    own, copy = F.lit(False).alias(HALO), F.lit(True).alias(HALO)
-    both = F.array(F.struct(span.alias(SLICE), own), F.struct((span + 1).alias(SLICE), copy))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias(SLICE), own))
-    marked = mark_hot(df, keys, slices.hot)
-    spread = marked.select("*", F.inline(F.when(F.col(HOT) & span.isNotNull(), both).otherwise(whole)))
-    window = Window.partitionBy(*cols(keys), SLICE).orderBy(micros).rangeBetween(-width, 0)
-    return (
-        spread.select("*", *[value.over(window).alias(name) for name, value in aggregates.items()])
-        .where(~F.col(HALO))
-        .select(*cols(df.columns), *aggregates)
+    values = {f"__v_{n}": value for n, (_, value) in aggregates.items()}
+    base = df.withColumn("__at", as_number(df, time_column).cast("long")).withColumns(values)
+    base = base.withColumn("__span", F.floor(F.col("__at") / F.lit(width)))
+    places = F.array(
+        F.struct(F.col("__span").alias("span"), F.col("__at").alias("at")),
+        F.struct((F.col("__span") - 1).alias("span"), (F.col("__at") - width).alias("at")),
+    )
+    rows_and_markers = base.select(*cols(keys), F.inline(places)).withColumnsRenamed({"span": "__span", "at": "__at"})
+    groups = [*keys, "__span"]
+    slices = plan_slices(rows_and_markers, groups, "__at", rows_per_task)
+
+    forward = {f"__f_{n}": (fn, F.col(f"__v_{n}")) for n, (fn, _) in aggregates.items()}
+    begun = running(base, groups, ["__at"], forward, peers=True, slices=slices)
+    rows = base.select(*cols(groups), "__at", F.lit(1).alias("__side"), *values)
+    markers = begun.select(
+        *cols(keys), (F.col("__span") - 1).alias("__span"), (F.col("__at") - width).alias("__at"), F.lit(0).alias("__side"),
+        F.struct(*cols(df.columns), *forward).alias("__row"),
+    )
+    backward = {n: (fn, F.col(f"__v_{n}")) for n, (fn, _) in aggregates.items()}
+    both = rows.unionByName(markers, allowMissingColumns=True)
+    ended = running(both, groups, ["__at", "__side"], backward, descending=True, slices=slices)
+
+    def whole(name: str, fn: str) -> Column:
+        begin = F.col("__row").getField(f"__f_{name}")
+        return F.when(F.col("__at").isNull(), begin).otherwise(COMBINE[fn](begin, col(name)))
+
+    return ended.where(F.col("__side") == 0).select(
+        *[F.col("__row").getField(n).alias(n) for n in df.columns],
+        *[whole(n, fn).alias(n) for n, (fn, _) in aggregates.items()],
     )

@@ -84,7 +84,7 @@ def sql_frame(spark, folder):
     """A running sum and a one-day moving frame per user."""
     events = table(spark, folder, "events").select("event_id", "user_id", "ts", "value")
     running = running_totals(events, ["user_id"], ["ts", "event_id"], {"running": F.col("value")})
-    frames = {"day_count": F.count(F.lit(1)), "day_max": F.max("value")}
+    frames = {"day_count": ("count", F.lit(1)), "day_max": ("max", F.col("value"))}
     out = moving_range(running, ["user_id"], "ts", 86_400, frames)
     return out.select("event_id", F.round("running", 2).alias("running"), "day_count", "day_max")
 
