@@ -10,9 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4 = f"^({OCTET}[.]){{3}}{OCTET}$"
-IPV4_TAIL = f":({OCTET}[.]{OCTET}[.]{OCTET}[.]{OCTET})$"
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+DOTTED = f"(?:{OCTET}[.]){{3}}{OCTET}"
+IPV4 = f"^{DOTTED}$"
+
+
+def _ipv6_pattern() -> str:
+    """Eight groups of 1 to 4 hex digits, or fewer around one '::'.
+
+    A dotted IPv4 tail stands for the last two groups, a zone may follow after '%'.
+    """
+    group = "[0-9A-Fa-f]{1,4}"
+    forms = [f"(?:{group}:){{7}}{group}", f"(?:{group}:){{6}}{DOTTED}"]
+    for left in range(8):
+        room = 7 - left
+        head = f"{group}(?::{group}){{{left - 1}}}" if left else ""
+        tails = ([f"(?:{group}:){{0,{room - 1}}}{group}"] if room else []) + (
+            [f"(?:{group}:){{0,{room - 2}}}{DOTTED}"] if room > 1 else []
+        )
+        forms.append(f"{head}::" + (f"(?:{'|'.join(tails)})?" if tails else ""))
+    return f"^(?:{'|'.join(forms)})(?:%[^%]+)?$"
+
+
+IPV6 = _ipv6_pattern()
 
 # Address ranges that are not globally reachable, and the parts
 # of them that are.
@@ -41,48 +61,29 @@ def ipv4_long_sql(text: str) -> str:
     return "(" + " + ".join(parts) + ")"
 
 
+def is_ipv6_sql(text: str) -> str:
+    return f"coalesce({text} RLIKE '{IPV6}', false)"
+
+
 def ipv6_hex_sql(text: str) -> str:
     """32 hex digits of an IPv6 text, null when it is not one."""
-    # A zone such as %eth0 may follow the address; it is not part of it.
-    bare = f"regexp_replace({text}, '^([^%]+)%[^%]+$', '$1')"
-    # A dotted IPv4 tail stands for the last two groups.
-    tail = f"regexp_extract(a, '{IPV4_TAIL}', 1)"
-    long_tail = ipv4_long_sql("t")
-    hex_tail = f"lpad(lower(hex({long_tail})), 8, '0')"
+    bare = f"split_part({text}, '%', 1)"
+    tail = ipv4_long_sql(f"substring_index({bare}, ':', -1)")
+    digits = f"lpad(hex({tail}), 8, '0')"
     folded = (
-        f"CASE WHEN t = '' THEN a ELSE concat(left(a, length(a) - length(t)), left({hex_tail}, 4), ':', "
-        f"right({hex_tail}, 4)) END"
-    )
-    groups = "filter(split({half}, ':'), g -> g != '')"
-    left_groups = groups.format(half="split(b, '::')[0]")
-    right_groups = groups.format(half="coalesce(get(split(b, '::'), 1), '')")
-    # At most one '::', no other empty group, 1 to 4 hex digits per group.
-    shape = "b RLIKE '^(:|[0-9A-Fa-f]{1,4}:|::)([0-9A-Fa-f]{1,4}:|:)*([0-9A-Fa-f]{1,4})?$'"
-    once = "NOT b RLIKE '::.*::|:::' AND NOT b RLIKE '^:[^:]|[^:]:$' AND b LIKE '%:%'"
-    count = "(size(l) + size(r))"
-    fits = f"IF(b LIKE '%::%', {count} <= 7, {count} = 8)"
-    pad = "transform({side}, g -> lpad(lower(g), 4, '0'))"
-    full = (
-        f"array_join(concat({pad.format(side='l')}, array_repeat('0000', 8 - {count}), {pad.format(side='r')}), '')"
-    )
-    # Names for intermediate values: one-element arrays bound by lambdas.
-    body = f"CASE WHEN {shape} AND {once} AND {fits} THEN {full} END"
-    inner = f"transform(array(named_struct('l', {left_groups}, 'r', {right_groups})), s -> {_in_struct(body)})[0]"
-    with_b = f"transform(array({folded}), b -> {inner})[0]"
-    with_t = f"transform(array({tail}), t -> {with_b})[0]"
-    return f"CASE WHEN {text} LIKE '%:%' THEN transform(array({bare}), a -> {with_t})[0] END"
-
-
-def _in_struct(body: str) -> str:
-    return (
-        body.replace("size(l)", "size(s.l)").replace("size(r)", "size(s.r)")
-        .replace("transform(l,", "transform(s.l,").replace("transform(r,", "transform(s.r,")
+        f"concat(left({bare}, length({bare}) - length(substring_index({bare}, ':', -1))), left({digits}, 4), ':', right({digits}, 4))"
     )
+    groups = f"CASE WHEN contains({bare}, '.') THEN {folded} ELSE {bare} END"
+    # '::' becomes as many zero groups as are missing; then every group is padded.
+    missing = "8 - size(filter(split(b, ':'), g -> g != ''))"
+    filled = f"filter(split(replace(b, '::', concat(':', repeat('0:', {missing}))), ':'), g -> g != '')"
+    full = f"lower(array_join(transform({filled}, g -> lpad(g, 4, '0')), ''))"
+    # The one-element array gives the groups a name inside the lambda.
+    return f"CASE WHEN {is_ipv6_sql(text)} THEN transform(array({groups}), b -> {full})[0] END"
 
 
 def validate_ip_sql(text: str) -> str:
-    # The cheap test comes first, so only texts with a colon reach the IPv6 parser.
-    return f"CASE WHEN {is_ipv4_sql(text)} THEN true ELSE {ipv6_hex_sql(text)} IS NOT NULL END"
+    return f"({is_ipv4_sql(text)} OR {is_ipv6_sql(text)})"
 
 
 def ip_bits_sql(text: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.columns import attach, col, cols, quote
 from tracewell.functions.network import ip_bits
+from tracewell.session import cut_lineage
 
 
 def prefix_keys(prefixes: DataFrame, prefix: str) -> DataFrame:
@@ -27,7 +28,8 @@ def prefix_keys(prefixes: DataFrame, prefix: str) -> DataFrame:
         return F.when(valid, F.struct(b.substr(F.lit(1), length + 1).alias("__key"), length.alias("__length")))
 
     networks = F.filter(F.transform(F.array(bits), network), lambda n: n.isNotNull())
-    return prefixes.select("*", F.inline(networks))
+    # Kept, because the lengths are looked at before the join.
+    return cut_lineage(prefixes.select("*", F.inline(networks)))
 
 
 def enclosing_networks(df: DataFrame, address: str, keyed: DataFrame) -> DataFrame:

@@ -285,6 +285,18 @@ def number_rows(
     return running_totals(df, keys, order_by, {name: F.lit(1).cast("long")}, descending, rows_per_task)
 
 
+def _placed(counted: DataFrame, keys: Sequence[str], by: str, descending: bool, rows_per_task: int | None) -> DataFrame:
+    """Counted values (`__n` rows each) with rows and values so far, and the group's rows."""
+    slices = plan_slices(counted, keys, by, rows_per_task)
+    so_far = {"__seen": ("sum", F.col("__n")), "__values": ("count", F.lit(1))}
+    placed = running(counted, keys, [by], so_far, descending, slices=slices)
+    if not slices.split:
+        # The same partitioning serves the group's total.
+        return placed.withColumn("group_rows", F.sum("__n").over(Window.partitionBy(*cols(keys))))
+    sizes = counted.groupBy(*cols(keys)).agg(F.sum("__n").alias("group_rows"))
+    return attach(placed, sizes, keys, "inner")
+
+
 def rank_values(
     df: DataFrame,
     keys: Sequence[str],
@@ -299,21 +311,13 @@ def rank_values(
     cume_dist, group_rows. Join it back on (keys, by) to rank rows.
     """
     counted = df.groupBy(*cols(keys), col(by)).agg(F.count(F.lit(1)).alias("__n"))
-    running = running_totals(
-        counted,
-        keys,
-        [by],
-        {"__seen": F.col("__n"), "dense_rank": F.lit(1).cast("long")},
-        descending,
-        rows_per_task,
-    )
-    sizes = counted.groupBy(*cols(keys)).agg(F.sum("__n").alias("group_rows"))
+    placed = _placed(counted, keys, by, descending, rows_per_task)
     rank = F.col("__seen") - F.col("__n") + 1
-    return attach(running, sizes, keys, "inner").select(
+    return placed.select(
         *cols(keys),
         col(by),
         rank.alias("rank"),
-        F.col("dense_rank"),
+        F.col("__values").alias("dense_rank"),
         F.when(F.col("group_rows") > 1, (rank - 1) / (F.col("group_rows") - 1)).otherwise(F.lit(0.0)).alias("percent_rank"),
         (F.col("__seen") / F.col("group_rows")).alias("cume_dist"),
         F.col("group_rows"),
@@ -327,11 +331,10 @@ def median_values(
     counted = (
         df.where(col(column).isNotNull()).groupBy(*cols(keys), col(column)).agg(F.count(F.lit(1)).alias("__n"))
     )
-    running = running_totals(counted, keys, [column], {"__seen": F.col("__n")}, False, rows_per_task)
-    sizes = counted.groupBy(*cols(keys)).agg(F.sum("__n").alias("__size"))
+    placed = _placed(counted, keys, column, False, rows_per_task)
     first = F.col("__seen") - F.col("__n") + 1
-    low, high = F.expr("(__size + 1) div 2"), F.expr("(__size + 2) div 2")
-    joined = attach(running, sizes, keys, "inner").select(
+    low, high = F.expr("(group_rows + 1) div 2"), F.expr("(group_rows + 2) div 2")
+    joined = placed.select(
         *cols(keys),
         col(column).cast("double").alias("__v"),
         F.when((first <= low) & (low <= F.col("__seen")), 1).otherwise(0).alias("__low"),
