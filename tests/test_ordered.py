@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators.ordered import (
-    carry_last, median_values, moving_range, number_rows, plan_slices, rank_values, running_totals,
+    RANKS, carry_last, median_values, moving_range, number_rows, plan_slices, rank_rows, rank_values, running_totals,
 )
 from tracewell.operators.shift import shift
 
@@ -143,3 +143,14 @@ def test_many_hot_groups_are_cut_without_a_list(table, rows, monkeypatch):
 def test_only_groups_over_the_limit_are_cut(table):
     slices = plan_slices(table, ["k"], "t", 100)
     assert [r["k"] for r in slices.hot.collect()] == ["hot"] and slices.few
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("tiles", [3, 7, 500])
+def test_rank_rows_in_both_ways(table, descending, tiles):
+    names = ["id", *RANKS, "ntile"]
+    plain, cut = (
+        sorted(tuple(r) for r in rank_rows(table, ["k"], "t", ["id"], tiles, descending, limit).select(*names).collect())
+        for limit in (10_000, 15)
+    )
+    assert len(plain) == 400 and plain == cut

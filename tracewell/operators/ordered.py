@@ -324,6 +324,48 @@ def rank_values(
     )
 
 
+RANKS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist")
+
+
+def rank_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    by: str,
+    ties: Sequence[str],
+    tiles: int | None = None,
+    descending: bool = False,
+    rows_per_task: int | None = None,
+) -> DataFrame:
+    """Add the RANKS by `by`, and `ntile` when `tiles` is given.
+
+    `ties` order rows of equal rank for row_number and ntile. One window when
+    all groups fit a task; otherwise numbers come from slices and ranks from
+    counted values.
+    """
+    slices = plan_slices(df, keys, by, rows_per_task)
+    if not slices.split:
+        group = Window.partitionBy(*cols(keys))
+        loose, strict = group.orderBy(*ordering([by], descending)), group.orderBy(*ordering([by, *ties], descending))
+        out = df.select(
+            "*",
+            F.row_number().over(strict).cast("long").alias("row_number"),
+            F.rank().over(loose).cast("long").alias("rank"),
+            F.dense_rank().over(loose).cast("long").alias("dense_rank"),
+            F.percent_rank().over(loose).alias("percent_rank"),
+            F.cume_dist().over(loose).alias("cume_dist"),
+        )
+        return out if tiles is None else out.withColumn("ntile", F.ntile(tiles).over(strict).cast("long"))
+    numbered = running(df, keys, [by, *ties], {"row_number": ("count", F.lit(1))}, descending, slices=slices)
+    out = attach(numbered, rank_values(df, keys, by, descending, rows_per_task), [*keys, by], "inner")
+    if tiles is not None:
+        # The first (rows mod tiles) tiles hold one row more than the others.
+        place, small, extra = F.col("row_number") - 1, F.expr(f"group_rows div {tiles}"), F.col("group_rows") % tiles
+        in_large = F.floor(place / (small + 1))
+        in_small = extra + F.floor((place - extra * (small + 1)) / F.greatest(small, F.lit(1)))
+        out = out.withColumn("ntile", F.when(place < extra * (small + 1), in_large).otherwise(in_small) + 1)
+    return out.drop("group_rows")
+
+
 def median_values(
     df: DataFrame, keys: Sequence[str], column: str, name: str, rows_per_task: int | None = None
 ) -> DataFrame:

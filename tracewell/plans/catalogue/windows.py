@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.columns import attach
-from tracewell.operators.ordered import moving_range, number_rows, rank_values, running_totals
+from tracewell.operators.ordered import moving_range, rank_rows, running_totals
 from tracewell.operators.rows import newest
 from tracewell.operators.shift import shift
 from tracewell.plans.catalogue import Registry
@@ -55,23 +54,10 @@ def shift_all(spark, folder):
        FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate)""",
 )
 def sql_rank(spark, folder):
-    """Ranks of a supplier's lines by date: ties counted before anything is ordered."""
+    """Ranks of a supplier's lines by date, and quarters."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey")
-    numbered = number_rows(lines, ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber"])
-    ranks = rank_values(lines, ["l_suppkey"], "l_shipdate")
-    out = attach(numbered, ranks, ["l_suppkey", "l_shipdate"], "inner")
-    # ntile: the first (rows mod 4) quarters hold one row more.
-    place, rows = F.col("row_number") - 1, F.col("group_rows")
-    small, extra = F.floor(rows / 4), rows % 4
-    large_part = extra * (small + 1)
-    quarter = F.when(place < large_part, F.floor(place / (small + 1))).otherwise(
-        extra + F.floor((place - large_part) / F.greatest(small, F.lit(1)))
-    )
-    return out.select(
-        "l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey", "row_number", "rank", "dense_rank",
-        "percent_rank", "cume_dist",
-        (quarter + 1).cast("bigint").alias("quarter"),
-    )
+    ranked = rank_rows(lines, ["l_suppkey"], "l_shipdate", ["l_orderkey", "l_linenumber"], tiles=4)
+    return ranked.withColumnRenamed("ntile", "quarter")
 
 
 @R.query(
