@@ -25,7 +25,7 @@ def normal(value):
     if hasattr(value, "item"):
         value = value.item()
     if isinstance(value, float):
-        return float(f"{value:.9g}")
+        return value
     if isinstance(value, (list, tuple)):
         return tuple(normal(v) for v in value)
     return value

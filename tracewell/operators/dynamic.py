@@ -95,8 +95,11 @@ def line_edges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def assign_seeds(rows: DataFrame, size: int, keys: Sequence[str], component_rows: int) -> DataFrame:
     """(id, seed, field) for every row."""
     if size <= component_rows:
-        everything = rows.select(ID, F.lit(0).alias("label"))
-        return solve_in_tasks(line_edges(rows, keys), everything, 1)
+        # One task sees all rows, so a line's own text may stand for its number.
+        texts = [
+            F.to_json(F.array(F.lit(str(i)), *[col(k) for k in keys if k != dropped])) for i, dropped in enumerate(keys)
+        ]
+        return solve_in_tasks(rows.select(F.col(ID).alias("id"), F.array(*texts).alias("lines"), F.lit(0).alias("batch")))
     edges = cut_lineage(line_edges(rows, keys))
     # Rows alone on all their lines stay as they are.
     alone = edges.groupBy(ID).agg(F.max("size").alias("most")).where("most = 1")
@@ -113,7 +116,9 @@ def assign_seeds(rows: DataFrame, size: int, keys: Sequence[str], component_rows
     if summary["small"]:
         batches = -(-summary["small"] // component_rows)
         small = labels.join(sizes.where(F.col("rows") <= component_rows), "label")
-        result = result.unionByName(solve_in_tasks(edges, small, batches))
+        wide = edges.groupBy(ID).agg(F.sort_array(F.collect_list(F.struct("field", "line"))).alias("lines"))
+        batch = F.pmod(F.xxhash64("label"), F.lit(batches)).alias("batch")
+        result = result.unionByName(solve_in_tasks(wide.join(small, ID).select(F.col(ID).alias("id"), F.col("lines.line").alias("lines"), batch)))
     if summary["largest"] and summary["largest"] > component_rows:
         large = labels.join(sizes.where(F.col("rows") > component_rows), "label")
         result = result.unionByName(solve_by_rounds(edges.join(large.select(ID), ID, "left_semi")))
@@ -137,16 +142,13 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after
 
 
-def solve_in_tasks(edges: DataFrame, labels: DataFrame, batches: int) -> DataFrame:
-    """Whole components, batched by label, solved in their row order."""
-    wide = edges.groupBy(ID).agg(F.sort_array(F.collect_list(F.struct("field", "line"))).alias("lines"))
-    batch = F.pmod(F.xxhash64("label"), F.lit(batches))
-    source = wide.join(labels, ID).select(F.col(ID).alias("id"), F.col("lines.line").alias("lines"), batch.alias("batch"))
+def solve_in_tasks(source: DataFrame) -> DataFrame:
+    """Rows (id, lines by field, batch) solved in row order; batches hold whole components."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         ids, lines = pdf["id"].tolist(), [list(x) for x in pdf["lines"]]
-        on_line: dict[int, list[int]] = {}
+        on_line: dict[object, list[int]] = {}
         for place, through in enumerate(lines):
             for line in through:
                 on_line.setdefault(line, []).append(place)

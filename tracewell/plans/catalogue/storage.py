@@ -47,7 +47,7 @@ def loaded(spark, folder):
 @R.query("static_read", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal FROM customer")
 def static_read(spark, folder):
     schema = "c_custkey BIGINT, c_name STRING, c_nationkey BIGINT, c_acctbal DOUBLE"
-    return loaded(spark, folder).read("customers", limit=10_000_000, schema=schema)
+    return loaded(spark, folder).read("customers", schema=schema)
 
 
 @R.query("static_load", "SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size FROM part")
