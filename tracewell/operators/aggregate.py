@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tracewell.columns import attach, col, cols, dtype, fill_missing, quote
 from tracewell.functions.times import spark_pattern
 from tracewell.operators.ordered import median_values
+from tracewell.session import cut_lineage
 
 Spec = Mapping[str, str | Sequence[str]]
 
@@ -170,7 +171,8 @@ def aggregate_by_time(
     df = df.withColumn("__bucket", bucket_start(df, key, frequency))
     out = aggregate(df, [*groupby, "__bucket"], spec, list_to_text, order_by, None, rows_per_task)
     if not groupby:
-        out = fill_buckets(out, "__bucket", frequency, spec)
+        # Kept: the buckets give both their range and the joined rows.
+        out = fill_buckets(cut_lineage(out), "__bucket", frequency, spec)
     if any(name == key for _, _, name in expand_spec(spec)):
         raise ValueError(f"an aggregate may not be named like the time column {key}")
     out = out.withColumnRenamed("__bucket", key)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.columns import attach, col, cols
 from tracewell.operators.aggregate import bucket_start
+from tracewell.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,9 @@ def bucket_aggregate(
     out = keyed.groupBy(*[F.col(f"__b{i}").alias(n) for i, n in enumerate(names)]).agg(
         F.count(F.lit(1)).alias("doc_count"), *values
     )
+    if any(isinstance(layer, Terms) and layer.size is not None for layer in layers):
+        # Kept, so that the limits read the buckets and not the rows again.
+        out = cut_lineage(out)
     for i, layer in enumerate(layers):
         if isinstance(layer, Terms) and layer.size is not None:
             here = names[: i + 1]

@@ -114,7 +114,8 @@ def assign_seeds(rows: DataFrame, size: int, keys: Sequence[str], component_rows
     ).first()
     result = single
     if summary["small"]:
-        batches = -(-summary["small"] // component_rows)
+        # Four batches per limit, as hashing does not fill them evenly.
+        batches = -(-4 * summary["small"] // component_rows)
         small = labels.join(sizes.where(F.col("rows") <= component_rows), "label")
         wide = edges.groupBy(ID).agg(F.sort_array(F.collect_list(F.struct("field", "line"))).alias("lines"))
         batch = F.pmod(F.xxhash64("label"), F.lit(batches)).alias("batch")
