@@ -43,9 +43,9 @@ def main() -> None:
             start = time.perf_counter()
             queries[name](spark, folder).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - start, 3)
-    scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
+    scale = os.path.basename(folder.rstrip("/")).removeprefix("sf") or "0"
     total = round(sum(seconds.values()), 3)
-    print(json.dumps({"metric": "headline queries, warm wall time", "value": total, "unit": "sec", "queries": seconds, "sf": scale}))
+    print(json.dumps({"metric": "headline queries, warm wall time", "value": total, "unit": "sec", "queries": seconds, "sf": float(scale)}))
     spark.stop()
 
 

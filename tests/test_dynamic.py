@@ -46,3 +46,15 @@ def test_against_model(spark, limit, seed, size):
     rows = [(tuple("-" if v is None else v for v in row[:3]), counts[row]) for row in ordered]
     assert got == sorted((*values, n) for values, n in model(rows, 3))
     assert sum(r[3] for r in got) == size
+
+
+def test_many_small_components_and_a_large_one(spark):
+    """Batches of components in tasks, and rounds for the one over the limit, in one layer."""
+    random.seed(11)
+    data = [(f"h{random.randint(0, 9)}", f"r{random.randint(0, 9)}", f"c{random.randint(0, 9)}") for _ in range(40)]
+    data += [("big", f"r{i % 3}", f"x{i}") for i in range(15)]
+    data = sorted(set(data))
+    df = spark.createDataFrame([(*row, 1) for row in data], "h string, r string, c string, n int")
+    out = dynamic_aggregate(df, ["h", "r", "c"], {"n": ["count"]}, ["h", "r", "c"], {"n_count": "sum"}, component_rows=9)
+    got = sorted((r["h"], r["r"], r["c"], r["n_count"]) for r in out.collect())
+    assert got == sorted((*values, n) for values, n in model([(row, 1) for row in data], 3))
