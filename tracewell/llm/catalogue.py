@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import mixing
+from tracewell.llm import mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2,
+    "op7_packing": packing.op7,
 }
 
 ORACLES: dict[str, str] = {}
