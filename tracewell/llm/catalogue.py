@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import mixing, packing
+from tracewell.llm import language, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2,
+    "op5_language": language.op5,
     "op7_packing": packing.op7,
 }
 
