@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.columns import col
 from tracewell.llm.common import load, uniform
@@ -252,7 +253,7 @@ def label_rows(docs: DataFrame, model: Model, lang_name: str = "lang_pred", scor
 
     Only the column `text` is looked at. Null text, text without a letter, or a model without languages: `und` and 0.
     """
-    schema = docs.schema.add(lang_name, "string").add(score_name, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     names = np.array([*model.languages, UNKNOWN], dtype=object)
 
     def chunks(texts: pa.Array) -> Iterator[list[list[str]]]:
