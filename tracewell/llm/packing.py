@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -213,6 +213,23 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 2, size: int
     return docs.mapInArrow(run, schema)
 
 
+def _packer(size: int, depth: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    """Packs a group's pieces; poor sequences stay without a number unless this is the last round."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lengths = table.column("length").to_numpy()
+        sequence, offset = np.full(len(lengths), -1, dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+        first = (depth << 58) + (int(table.column("grp")[0].as_py()) << 24)
+        for number, items in enumerate(pack(lengths, size)):
+            if last or lengths[items].sum() >= POOR * size:
+                sequence[items] = first + number
+                offset[items] = np.cumsum(lengths[items]) - lengths[items]
+        added = [pa.array(sequence, mask=sequence < 0), pa.array(offset)]
+        return pa.table([*table.columns, *added], names=[*table.column_names, "sequence_id", "offset"])
+
+    return run
+
+
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, size: int = SEQUENCE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per piece of each row of `docs` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -227,24 +244,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, si
     schema = T.StructType([*level.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     done, depth = [], 0
     while True:
-        last, now = groups == 1, depth
-
-        def run(table: pa.Table, last: bool = last, now: int = now) -> pa.Table:
-            lengths = table.column("length").to_numpy()
-            seq, offset = np.full(len(lengths), -1, dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
-            first = (now << 58) + (int(table.column("grp")[0].as_py()) << 24)
-            for number, items in enumerate(pack(lengths, size)):
-                if last or lengths[items].sum() >= POOR * size:
-                    seq[items] = first + number
-                    offset[items] = np.cumsum(lengths[items]) - lengths[items]
-            names = table.column_names
-            open_ = pa.array(seq < 0)
-            return pa.table(
-                [*[table.column(n) for n in names], pa.array(seq, mask=open_.to_numpy(zero_copy_only=False)), pa.array(offset)],
-                names=[*names, "sequence_id", "offset"],
-            )
-
-        packed = saved(level.groupBy("grp").applyInArrow(run, schema), "packing")
+        last = groups == 1
+        packed = saved(level.groupBy("grp").applyInArrow(_packer(size, depth, last), schema), "packing")
         done.append(packed.where("sequence_id is not null"))
         if last:
             break
