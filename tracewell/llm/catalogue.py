@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import html, language, mixing, packing
+from tracewell.llm import html, language, mixing, neighbours, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2,
     "op4_html": html.op4,
     "op5_language": language.op5,
     "op7_packing": packing.op7,
+    "op10_neighbours": neighbours.op10,
 }
 
 ORACLES: dict[str, str] = {}
