@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import html, language, mixing, neighbours, packing
+from tracewell.llm import html, language, lm, mixing, neighbours, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_backoff": lm.op1,
     "op2_mixing": mixing.op2,
     "op4_html": html.op4,
     "op5_language": language.op5,
@@ -16,4 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": neighbours.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_backoff": lm.OP1_SQL,
+}

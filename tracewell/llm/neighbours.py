@@ -20,8 +20,8 @@ SAMPLE_PER_LIST = 48  # vectors the centroids are fitted on: at most so many a l
 MOST_SAMPLE = 200_000  # so many in all
 REPLICAS = 4  # lists that a boundary vector may be in
 REPLICA_RATIO = 1.2  # ... with centroids at most so many times as far as the nearest one
-SEARCH_RATIO = 1.6  # lists searched: centroids at most so many times as far as the nearest one
-SEARCH_LISTS = 32
+SEARCH_RATIO = 1.4  # lists searched: centroids at most so many times as far as the nearest one
+SEARCH_LISTS = 64
 DEGREE = 16
 CHUNK_ROWS = 4_096  # rows of a list that one group holds
 
