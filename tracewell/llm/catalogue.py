@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import html, language, lm, mixing, neighbours, packing, repeats
+from tracewell.llm import html, language, lm, mixing, neighbours, ngram_join, packing, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_backoff": lm.op1,
@@ -14,10 +14,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": html.op4,
     "op5_language": language.op5,
     "op7_packing": packing.op7,
+    "op8_ngram_join": ngram_join.op8,
     "op9_repeats": repeats.op9,
     "op10_neighbours": neighbours.op10,
 }
 
 ORACLES: dict[str, str] = {
     "op1_backoff": lm.OP1_SQL,
+    "op8_ngram_join": ngram_join.OP8_SQL,
 }

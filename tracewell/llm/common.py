@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.columns import col
 from tracewell.session import new_path
 
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+SLICE_BYTES = 16_000_000  # bytes of text behind one partition of a shuffle
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -30,3 +34,26 @@ def uniform(*parts: Column) -> Column:
 def content_key(text: Column) -> Column:
     """128 bits that stand for a text: equal for equal texts only, for all that matters here; null for null."""
     return F.when(text.isNotNull(), F.unhex(F.md5(F.encode(text, "UTF-8"))))
+
+
+def shuffle_slices(rows: DataFrame, column: str = "text", slice_bytes: int = SLICE_BYTES) -> int:
+    """Partitions for work on a column of this many bytes, and not fewer than the session's."""
+    size = rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // slice_bytes))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(text_key, text binary, n) of the distinct texts, null as empty, written bucketed by key: later joins move no text."""
+    spark = docs.sparkSession
+    bytes_ = F.coalesce(col("text").cast("binary"), F.lit(b""))
+    rows = docs.select(text_key(col("text")).alias("text_key"), bytes_.alias("text"))
+    buckets = shuffle_slices(rows)
+    once = rows.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    name = f"tracewell_texts_{uuid4().hex}"
+    writer = once.repartition(buckets, "text_key").write.bucketBy(buckets, "text_key").sortBy("text_key").option("compression", "zstd")
+    writer.option("path", new_path(spark, "texts")).saveAsTable(name)
+    return spark.table(name)
+
+
+def text_key(text: Column) -> Column:
+    return content_key(F.coalesce(text, F.lit("")))

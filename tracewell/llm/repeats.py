@@ -9,17 +9,16 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.columns import col
-from tracewell.llm.common import content_key, load, saved
+from tracewell.llm.common import distinct_texts, load, saved, shuffle_slices, text_key
 from tracewell.session import new_path
 
 LENGTH = 400  # bytes that must repeat
 SEED_BYTES = 64  # bytes at the start of a suffix that is sampled
 BATCHES = 4
-BUCKET_BYTES = 16_000_000
 HOT_RUNS = 20_000  # runs with one seed that are still compared in one task
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -272,8 +271,7 @@ def removed_repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED_BYT
     Returns (text_key, n_bytes, n_removed, n_spans, kept_sha256, kept). `texts` should be a table: it is read three times.
     """
     spark = texts.sparkSession
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = shuffle_slices(texts)
     schema = "seed long, span long, text_key binary, n long, at int, lo int, hi int"
     found = texts.select("text_key", "text", "n").where(F.octet_length("text") >= length).mapInArrow(_suffix_rows(length, seed), schema)
     path = new_path(spark, "suffix-rows")
@@ -302,24 +300,6 @@ def removed_repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED_BYT
     return texts.select("text_key", "text").join(removed, "text_key", "left").mapInArrow(_remove, out)
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(text_key, text binary, n) of the distinct texts, null as empty, written bucketed by key: later joins move no text."""
-    spark = docs.sparkSession
-    bytes_ = F.coalesce(col("text").cast("binary"), F.lit(b""))
-    rows = docs.select(text_key(col("text")).alias("text_key"), bytes_.alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    once = rows.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    name = f"tracewell_texts_{uuid4().hex}"
-    writer = once.repartition(buckets, "text_key").write.bucketBy(buckets, "text_key").sortBy("text_key").option("compression", "zstd")
-    writer.option("path", new_path(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
-
-
-def text_key(text: Column) -> Column:
-    return content_key(F.coalesce(text, F.lit("")))
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
