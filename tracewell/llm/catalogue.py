@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import html, language, lm, mixing, neighbours, ngram_join, packing, repeats
+from tracewell.llm import html, language, lines, lm, mixing, neighbours, ngram_join, packing, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_backoff": lm.op1,
     "op2_mixing": mixing.op2,
     "op4_html": html.op4,
     "op5_language": language.op5,
+    "op6_lines": lines.op6,
     "op7_packing": packing.op7,
     "op8_ngram_join": ngram_join.op8,
     "op9_repeats": repeats.op9,
