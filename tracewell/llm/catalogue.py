@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import html, language, lines, lm, mixing, neighbours, ngram_join, packing, repeats
+from tracewell.llm import html, language, lines, lm, mixing, neighbours, ngram_join, packing, repeats, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_backoff": lm.op1,
     "op2_mixing": mixing.op2,
+    "op3_search": search.op3,
     "op4_html": html.op4,
     "op5_language": language.op5,
     "op6_lines": lines.op6,
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_backoff": lm.OP1_SQL,
+    "op3_search": search.OP3_SQL,
     "op8_ngram_join": ngram_join.OP8_SQL,
 }
