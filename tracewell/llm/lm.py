@@ -165,7 +165,7 @@ def _score(order: int, backoff: float) -> Callable[[pa.Table], pa.Table]:
             seen = there & found
         score = np.bincount(owner, logs, len(lengths))
         return pa.table(
-            [docs.column("id"), docs.column("n"), pa.array(np.bincount(owner, seen, len(lengths)).astype(np.int64)), pa.array(score)],
+            [docs.column("id"), docs.column("n"), pa.array(np.bincount(owner, seen, len(lengths)).astype(np.int64)), pa.array(score.astype(np.float64))],
             names=["doc_id", "n_words", "n_found", "score"],
         )
 
