@@ -20,12 +20,27 @@ def test_jdbc_options():
 
 
 def test_scan_documents(spark):
-    docs = spark.createDataFrame([("1", "a", 5), ("1", "a", 5), ("2", "a", 9), ("3", "b", 7), ("4", "a", 1)], "_id string, k string, v int")
-    query = {"bool": {"filter": [{"range": {"v": {"gt": 1, "lte": "9"}}}, {"match_phrase": {"k": "a"}}]}}
-    out = scan_documents(docs, query, ["v"], [{"v": {"order": "desc"}}])
-    assert [tuple(r) for r in out.collect()] == [("2", 9), ("1", 5)]
+    rows = [("1", "a", 5, ["x"]), ("1", "a", 6, None), ("2", "a", 9, ["y", "x"]), ("3", "b", 7, []), ("4", None, 1, ["z"])]
+    docs = spark.createDataFrame(rows, "_id string, k string, v int, tags array<string>")
+
+    def ids(query):
+        return sorted(r[0] for r in docs.where(filter_column(docs, query)).collect())
+
+    query = {"bool": {"filter": [{"range": {"v": {"gt": 1, "lte": "9"}}}, {"match_phrase": {"k": {"query": "a"}}}]}}
+    for way, first in (("desc", 6), ("asc", 5)):
+        assert {tuple(r) for r in scan_documents(docs, query, ["v"], [{"v": {"order": way}}]).collect()} == {("2", 9), ("1", first)}
+    assert [tuple(r) for r in scan_documents(docs, query, ["v"], [{"k": "asc"}, {"v": "desc"}], ordered=True).collect()] == [("2", 9), ("1", 6)]
+    assert ids({}) == ids({"match_all": {}}) == ["1", "1", "2", "3", "4"]
+    assert ids({"range": {"v": {"gte": 7}}}) == ["2", "3"]
+    assert ids({"bool": {"must_not": [{"term": {"k": "a"}}]}}) == ["3", "4"]  # a missing value is not "a"
+    assert ids({"bool": {"should": [{"term": {"k": "b"}}, {"terms": {"v": [1, 9]}}]}}) == ["2", "3", "4"]
+    assert ids({"bool": {"must": {"exists": {"field": "k"}}, "should": [{"term": {"k": "b"}}]}}) == ["1", "1", "2", "3"]
+    assert ids({"term": {"tags": "x"}}) == ["1", "2"]
+    for bad in ({"wildcard": {}}, {"bool": {"filter": [{"wildcard": {}}]}}, {"range": {"v": {"gte": 1, "format": "x"}}}, {"bool": {"boost": 1}}, {"term": {"v": {"value": 1, "boost": 2}}}, {"exists": {"field": "v"}, "term": {}}):
+        with pytest.raises(ValueError):
+            filter_column(docs, bad)
     with pytest.raises(ValueError):
-        filter_column(docs, {"bool": {"filter": [{"wildcard": {}}]}})
+        scan_documents(docs, {}, ["v"], [{"v": {"order": "desc", "missing": "_first"}}])
 
 
 def test_filters_reach_the_scan(spark, folder):

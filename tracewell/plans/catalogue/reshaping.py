@@ -18,7 +18,7 @@ R = Registry()
 
 @R.query(
     "hits_flatten",
-    """SELECT CAST(event_id AS VARCHAR) AS _id, event_type AS kind, CAST(value AS VARCHAR) AS value,
+    """SELECT CAST(event_id AS VARCHAR) AS _id, event_type AS kind, value,
               CASE WHEN event_id % 3 = 0 THEN concat('["', event_type, '","audit"]') ELSE event_type END AS tags FROM events""",
 )
 def hits_flatten(spark, folder):

@@ -18,18 +18,30 @@ R = Registry()
 
 @R.query(
     "scan_docs",
-    """SELECT CAST(event_id AS VARCHAR) AS _id, event_type AS kind, value FROM events
-       WHERE event_type = 'error' AND value >= 10 AND value < 300""",
+    """SELECT CAST(event_id % 3000 AS VARCHAR) AS _id, event_type AS kind, value FROM events
+       WHERE value >= 10 AND value < 300 AND event_type IN ('error', 'click', 'view') AND NOT (event_type = 'view' AND value > 200)
+         AND (user_id < 500 OR event_type = 'error') AND props IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY event_id % 3000 ORDER BY ts DESC, event_id DESC) = 1""",
 )
 def scan_docs(spark, folder):
-    """JSON documents with repeats, filtered by range and phrase, each id once."""
+    """JSON documents in several versions; all four lists of a filter, the newest matching version of each id."""
     path = new_path(spark, "documents")
-    events = table(spark, folder, "events").selectExpr("cast(event_id AS string) AS _id", "event_type AS kind", "value", "ts")
+    events = table(spark, folder, "events").selectExpr(
+        "cast(event_id % 3000 AS string) AS _id", "event_type AS kind", "value", "user_id", "props", "cast(ts AS string) AS ts", "event_id AS seq"
+    )
     # Overlapping pages repeat documents.
     write_json(events.unionByName(events.where("value > 100")), path)
-    documents = read_json_documents(spark, path, "_id STRING, kind STRING, value DOUBLE, ts STRING")
-    query = {"bool": {"filter": [{"range": {"value": {"gte": 10, "lt": 300}}}, {"match_phrase": {"kind": "error"}}]}}
-    return scan_documents(documents, query, ["kind", "value"], [{"ts": "desc"}])
+    documents = read_json_documents(spark, path, "_id STRING, kind STRING, value DOUBLE, user_id BIGINT, props STRING, ts STRING, seq BIGINT")
+    query = {
+        "bool": {
+            "filter": [{"range": {"value": {"gte": 10, "lt": 300}}}, {"exists": {"field": "props"}}],
+            "must": {"terms": {"kind": ["error", "click", "view"]}},
+            "must_not": [{"bool": {"must": [{"match_phrase": {"kind": "view"}}, {"range": {"value": {"gt": 200}}}]}}],
+            "should": [{"range": {"user_id": {"lt": 500}}}, {"term": {"kind": {"value": "error"}}}],
+            "minimum_should_match": 1,
+        }
+    }
+    return scan_documents(documents, query, ["kind", "value"], [{"ts": {"order": "desc"}}, {"seq": "desc"}])
 
 
 def nations(spark, folder):

@@ -5,82 +5,149 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.columns import col, cols, dtype
-from tracewell.operators.rows import first_per_key
 
 
 def filter_column(df: DataFrame, query: Mapping) -> Column:
-    """A `bool.filter` list of `range` and `match_phrase` clauses as a predicate."""
-    clauses = []
-    for clause in query.get("bool", {}).get("filter", []):
-        (kind, body), = clause.items()
+    """A document filter as a predicate; anything that is not translated raises.
+
+    Clauses: `bool` with `filter`, `must`, `must_not`, `should` (one clause or a list; some of `should` must hold if the
+    other two positive lists are missing, or as `minimum_should_match` says), `range`, `term`, `terms`, `match_phrase`
+    (whole values), `exists`, `match_all`. A missing value fulfils no clause; a list column does if any element does.
+    """
+    if not query:
+        return F.lit(True)
+    if len(query) != 1:
+        raise ValueError(f"a filter is one clause, not {sorted(query)}")
+    (kind, body), = query.items()
+    if kind == "bool":
+        return _bool_clause(df, body)
+    if kind == "match_all":
+        return F.lit(True)
+    if kind == "exists":
+        _only(body, {"field"}, kind)
+        return col(body["field"]).isNotNull()
+    if kind not in ("range", "term", "terms", "match_phrase"):
+        raise ValueError(f"filter clause {kind} is not supported")
+    return reduce(lambda a, b: a & b, [_value_clause(df, kind, name, wanted) for name, wanted in body.items()], F.lit(True))
+
+
+def _only(body: Mapping, known: set[str], where: str) -> None:
+    if unknown := set(body) - known:
+        raise ValueError(f"{sorted(unknown)} in {where} is not supported")
+
+
+def _bool_clause(df: DataFrame, body: Mapping) -> Column:
+    _only(body, {"filter", "must", "must_not", "should", "minimum_should_match"}, "bool")
+
+    def of(name: str) -> list[Column]:
+        found = body.get(name, [])
+        return [filter_column(df, c) for c in ([found] if isinstance(found, Mapping) else found)]
+
+    needed = of("filter") + of("must")  # left as they are, for the scan to take them
+    excluded, optional = ([F.coalesce(c, F.lit(False)) for c in of(name)] for name in ("must_not", "should"))
+    least = int(body.get("minimum_should_match", 0 if needed or not optional else 1))
+    if least:
+        needed.append(reduce(lambda a, b: a + b, [c.cast("int") for c in optional], F.lit(0)) >= least)
+    return reduce(lambda a, b: a & b, needed + [~c for c in excluded], F.lit(True))
+
+
+def _value_clause(df: DataFrame, kind: str, name: str, wanted: object) -> Column:
+    of = dtype(df, name)
+    element = of.elementType if isinstance(of, T.ArrayType) else of
+
+    def literal(value: object) -> Column:
+        return F.lit(value).cast(element)
+
+    def test(value: Column) -> Column:
         if kind == "range":
-            for name, bounds in body.items():
-                for op, bound in bounds.items():
-                    limit = F.lit(bound).cast(dtype(df, name)) if op in ("gte", "gt", "lte", "lt") else None
-                    if op == "gte":
-                        clauses.append(col(name) >= limit)
-                    elif op == "gt":
-                        clauses.append(col(name) > limit)
-                    elif op == "lte":
-                        clauses.append(col(name) <= limit)
-                    elif op == "lt":
-                        clauses.append(col(name) < limit)
-        elif kind == "match_phrase":
-            clauses.extend(col(name) == F.lit(value).cast(dtype(df, name)) for name, value in body.items())
-        else:
-            raise ValueError(f"filter clause {kind} is not supported")
-    return reduce(lambda a, b: a & b, clauses, F.lit(True))
+            _only(wanted, {"gte", "gt", "lte", "lt"}, "range")
+            ops = {"gte": lambda b: value >= b, "gt": lambda b: value > b, "lte": lambda b: value <= b, "lt": lambda b: value < b}
+            return reduce(lambda a, b: a & b, [ops[op](literal(bound)) for op, bound in wanted.items()], value.isNotNull())
+        if kind == "terms":
+            return value.isin(*[literal(x) for x in wanted])
+        if isinstance(wanted, Mapping):
+            inner = "value" if kind == "term" else "query"
+            _only(wanted, {inner}, kind)
+            return value == literal(wanted[inner])
+        return value == literal(wanted)
+
+    return F.exists(col(name), test) if isinstance(of, T.ArrayType) else test(col(name))
 
 
 def scan_documents(
     documents: DataFrame,
     query: Mapping,
     fields: Sequence[str],
-    sort: Sequence[Mapping[str, str]] = (),
+    sort: Sequence[Mapping[str, object]] = (),
     id_column: str = "_id",
-    size: int | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
-    """Filter, project, drop repeated ids (first by the sort wins), sort.
+    """Filter, project, and keep one row per id: the first by the sort, missing values last.
 
-    All matching rows are returned, as paging does; `size` is a page length and
-    has no use here beyond documentation.
+    All matching rows are returned, as paging does. `ordered` sorts the result too, a range shuffle that a table
+    does not need.
     """
     rows = documents.where(filter_column(documents, query))
     wanted = [id_column, *[f for f in fields if f != id_column]]
-    orders = [(name, str(way.get("order") if isinstance(way, Mapping) else way)) for s in sort for name, way in s.items()]
+    orders = []
+    for part in sort:
+        for name, way in part.items():
+            if isinstance(way, Mapping):
+                _only(way, {"order"}, "sort")
+                way = way["order"]
+            if way not in ("asc", "desc"):
+                raise ValueError(f"sort {name} is asc or desc, not {way}")
+            orders.append((name, way))
     narrow = rows.select(*cols(dict.fromkeys([*wanted, *[n for n, _ in orders]])))
-    # Copies of a document are equal, so the first by any order will do.
-    unique = first_per_key(narrow, [id_column], [n for n, _ in orders] or [id_column])
-    out = unique.select(*cols(wanted)) if not orders else unique
-    if orders:
-        out = out.orderBy(*[col(n).desc() if way == "desc" else col(n).asc() for n, way in orders]).select(*cols(wanted))
-    return out
-
-
-def unwrap_hits(responses: DataFrame, hits: str = "hits") -> DataFrame:
-    """Flat rows from hit responses: one-element lists become scalars.
-
-    `hits` is struct<hits: array<struct<_id, fields: struct<name: array>>>>; hits
-    without fields are skipped. Lists in a column where any row is longer stay
-    lists of one column type, so only columns declared scalar are unwrapped by
-    `unwrap`; here every list gives its only element, or its JSON text.
+    unique = _first_by(narrow, id_column, orders)
+    if ordered:
+        unique = unique.orderBy(*[col(n).desc_nulls_last() if way == "desc" else col(n).asc_nulls_last() for n, way in orders])
+    return unique.select(*cols(wanted))
+
+
+def _first_by(df: DataFrame, key: str, orders: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row per key. Sorts of one direction are a partial aggregate; mixed ones need a window."""
+    ways = {way for _, way in orders}
+    if len(ways) > 1:
+        order = [col(n).desc_nulls_last() if way == "desc" else col(n).asc_nulls_last() for n, way in orders]
+        place = F.row_number().over(Window.partitionBy(col(key)).orderBy(*order))
+        return df.withColumn("__place", place).where("__place = 1").drop("__place")
+    row = F.struct(*cols(df.columns))
+    if ways == {"desc"}:
+        kept = F.max_by(row, F.struct(*[F.struct(col(n).isNotNull(), col(n)) for n, _ in orders]))
+    else:
+        kept = F.min_by(row, F.struct(*[F.struct(col(n).isNull(), col(n)) for n, _ in orders] or [F.lit(0)]))
+    picked = df.groupBy(col(key)).agg(kept.alias("row"))
+    return picked.select(*[F.col("row").getField(n).alias(n) for n in df.columns])
+
+
+def unwrap_hits(responses: DataFrame, hits: str = "hits", lists: Sequence[str] | None = None) -> DataFrame:
+    """Flat rows from hit responses: one-element lists become scalars of their type.
+
+    `hits` is struct<hits: array<struct<_id, fields: struct<name: array>>>>; hits without fields are skipped. A column has
+    one type, so a field with a longer list in any row shows its values as text: an only element as such, other lists as
+    JSON. `lists` names those fields; without it one pass over the data finds them.
     """
     rows = responses.select(F.explode(col(hits)["hits"]).alias("h")).where("h.fields IS NOT NULL")
-    fields = rows.schema["h"].dataType["fields"].dataType
-    return rows.select(F.col("h._id").alias("_id"), *[_scalar(F.col("h.fields").getField(f.name), f).alias(f.name) for f in fields.fields])
-
-
-def _scalar(value: Column, field: T.StructField) -> Column:
-    if not isinstance(field.dataType, T.ArrayType):
-        return value
-    # A column has one type: scalars and longer lists both fit into text.
-    only = F.get(value, F.lit(0))
-    return F.when(F.size(value) == 1, only.cast("string")).otherwise(F.to_json(value))
+    fields = [f for f in rows.schema["h"].dataType["fields"].dataType.fields]
+    arrays = [f.name for f in fields if isinstance(f.dataType, T.ArrayType)]
+    if lists is None and arrays:
+        sizes = rows.agg(*[F.max(F.size(F.col("h.fields").getField(n)) != 1).alias(f"c{i}") for i, n in enumerate(arrays)]).first()
+        lists = [n for n, longer in zip(arrays, sizes) if longer]
+
+    def shown(field: T.StructField) -> Column:
+        value = F.col("h.fields").getField(field.name)
+        if field.name not in arrays:
+            return value
+        only = F.get(value, F.lit(0))
+        return F.when(F.size(value) == 1, only.cast("string")).otherwise(F.to_json(value)) if field.name in lists else only
+
+    return rows.select(F.col("h._id").alias("_id"), *[shown(f).alias(f.name) for f in fields])
 
 
 def first_response_rows(df: DataFrame, response: str, row_schema: str) -> DataFrame:
