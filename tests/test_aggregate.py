@@ -72,3 +72,15 @@ def test_first_latest_union(spark, table):
     assert both.count() == 14 and both.where("_data_name_ = 'one' AND v IS NULL").count() == 7
     with pytest.raises(ValueError):
         union_tagged([])
+
+
+def test_more_functions(spark):
+    values = [("a", 1.0, True), ("a", 2.0, False), ("a", 4.0, None), ("a", None, True), ("b", 3.0, None), ("c", None, False)]
+    df = spark.createDataFrame(values, "k string, v double, f boolean")
+    got = {r["k"]: r for r in aggregate(df, ["k"], {"v": ["prod", "sem", "skew"], "f": ["any", "all"]}).collect()}
+    known = pd.DataFrame({"k": [r[0] for r in values], "v": [r[1] for r in values]}).groupby("k")["v"].agg(["prod", "sem", "skew"])
+    for k, row in known.iterrows():
+        for name in ("prod", "sem", "skew"):
+            mine = got[k][f"v_{name}"]
+            assert (mine is None and pd.isna(row[name])) or abs(mine - row[name]) < 1e-9, (k, name)
+    assert {k: (r["f_any"], r["f_all"]) for k, r in got.items()} == {"a": (True, False), "b": (False, True), "c": (False, False)}

@@ -28,6 +28,12 @@ PARTIAL = {
     "var": lambda c: F.var_samp(c),
     "nunique": lambda c: F.count_distinct(c),
     "size": lambda c: F.count(F.lit(1)),
+    "prod": lambda c: F.coalesce(F.product(c), F.lit(1.0)),
+    "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)),
+    # Adjusted for the sample size; null for fewer than three values.
+    "skew": lambda c: F.when(F.count(c) > 2, F.skewness(c) * F.sqrt(F.count(c) * (F.count(c) - 1)) / (F.count(c) - 2)),
+    "any": lambda c: F.coalesce(F.bool_or(c.cast("boolean")), F.lit(False)),
+    "all": lambda c: F.coalesce(F.bool_and(c.cast("boolean")), F.lit(True)),
 }
 ORDERED = {"first": F.min_by, "last": F.max_by}
 

@@ -66,6 +66,8 @@ def bind_parameters(target: DataFrame, binds: Sequence[Bind], data_name: str = "
 
 def apply_equal(bound: DataFrame, source: DataFrame, on: Mapping[str, str]) -> DataFrame:
     """Source rows whose columns equal the bound parameters: {applied name: column}."""
+    if not on:
+        raise ValueError("apply needs an equality: without one every source row would meet every target row")
     condition = F.lit(True)
     for applied, column in on.items():
         condition = condition & (bound[f"`{applied}`"] == source[f"`{column}`"])

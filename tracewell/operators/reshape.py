@@ -56,6 +56,11 @@ HISTORY = "modification_history_"
 # End of fixed values.
 
 
+def _after_history(key: Column) -> Column:
+    """The key without as many characters as the prefix has."""
+    return F.right(key, F.char_length(key) - len(HISTORY))
+
+
 def fold_history(df: DataFrame, entries: str, others: str = "fields", history: str = "modification_history") -> DataFrame:
     """`modification_history_<time>_<field>` keys of a map become an ordered list.
 
@@ -67,8 +72,8 @@ def fold_history(df: DataFrame, entries: str, others: str = "fields", history: s
     parsed = F.transform(
         F.filter(F.map_entries(col(entries)), lambda e: is_history(e["key"])),
         lambda e: F.struct(
-            F.regexp_extract(F.substring(e["key"], len(HISTORY) + 1, 10_000_000), "^([^_]*)_", 1).alias("time"),
-            F.regexp_replace(F.substring(e["key"], len(HISTORY) + 1, 10_000_000), "^[^_]*_", "").alias("field"),
+            F.regexp_extract(_after_history(e["key"]), "^([^_]*)_", 1).alias("time"),
+            F.regexp_replace(_after_history(e["key"]), "^[^_]*_", "").alias("field"),
             e["value"].alias("value"),
         ),
     )

@@ -235,10 +235,28 @@ R.sql(
 )
 
 
-@R.query("sql_approx")
+@R.query(
+    "sql_approx",
+    """SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS parts_near, true AS median_near, true AS high_near
+       FROM lineitem GROUP BY l_returnflag""",
+)
 def sql_approx(spark, folder):
-    """Sketches: the result is an estimate, so there is no exact SQL to compare with."""
-    return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(
-        F.approx_count_distinct("l_partkey").alias("parts"),
-        F.percentile_approx("l_extendedprice", [0.5, 0.95]).alias("prices"),
-    )
+    """Estimates, shown as whether they lie within their stated errors of the exact values."""
+    lines = table(spark, folder, "lineitem")
+    estimates = lines.groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_partkey", 0.02).alias("about"),
+        F.percentile_approx("l_extendedprice", [0.5, 0.95], 1000).alias("prices"),
+        F.count_distinct("l_partkey").alias("parts"),
+        F.count(F.lit(1)).alias("n"),
+    ).withColumnRenamed("l_returnflag", "flag")
+    near = lines.join(estimates, F.col("l_returnflag") == F.col("flag")).groupBy("l_returnflag", "parts", "about", "n")
+    # The rank of an estimated quantile: rows below it, and rows not above it.
+    low = [F.count_if(F.col("l_extendedprice") < F.col("prices")[i]).alias(f"low{i}") for i in (0, 1)]
+    high = [F.count_if(F.col("l_extendedprice") <= F.col("prices")[i]).alias(f"high{i}") for i in (0, 1)]
+    found = near.agg(*low, *high)
+    within = [
+        (F.col(f"low{i}") <= (p + 0.002) * F.col("n") + 1) & (F.col(f"high{i}") >= (p - 0.002) * F.col("n") - 1) for i, p in ((0, 0.5), (1, 0.95))
+    ]
+    # Four standard errors.
+    close = F.abs(F.col("about") - F.col("parts")) <= 0.08 * F.col("parts") + 1
+    return found.select("l_returnflag", "parts", close.alias("parts_near"), within[0].alias("median_near"), within[1].alias("high_near"))

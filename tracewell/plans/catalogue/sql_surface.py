@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.plans.catalogue import Registry
 from tracewell.plans.catalogue.derived import table
+from tracewell.session import cut_lineage
 
 R = Registry()
 
@@ -45,8 +46,8 @@ R.sql(
 )
 R.sql(
     "sql_array",
-    """SELECT d.doc_id, CAST(size(w) AS BIGINT) AS words, array_contains(w, 'the') AS has_the, array_join(slice(array_sort(array_distinct(w)), 1, 5), ' ') AS first_words,
-              aggregate(transform(w, x -> CAST(length(x) AS BIGINT)), CAST(0 AS BIGINT), (a, x) -> a + x) AS letters
+    """SELECT d.doc_id, CAST(size(w) AS BIGINT) AS words, array_contains(w, 'the') AS has_the, array_join(slice(sort_array(array_distinct(w)), 1, 5), ' ') AS first_words,
+              aggregate(w, CAST(0 AS BIGINT), (a, x) -> a + length(x)) AS letters
        FROM (SELECT doc_id, split(text, ' ') AS w FROM documents) d""",
     """SELECT doc_id, len(w) AS words, list_contains(w, 'the') AS has_the, array_to_string(list_sort(list_distinct(w))[1:5], ' ') AS first_words,
               CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS letters
@@ -104,8 +105,13 @@ def sql_rcte(spark, folder):
          UNION ALL SELECT r.root, c.c_custkey, r.step + 1 FROM reach r JOIN customer c ON c.c_custkey = r.id div 2 WHERE r.id > 0 AND r.step < 5)
        SELECT root, id, step FROM reach"""
     # The recursion is bounded by its depth; the engine's row guard is for endless ones.
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return sql_step(spark, {"customer": table(spark, folder, "customer")}, text, functions=False)
+    guard = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(guard)
+    spark.conf.set(guard, "-1")
+    try:
+        return cut_lineage(sql_step(spark, {"customer": table(spark, folder, "customer")}, text, functions=False))
+    finally:
+        spark.conf.set(guard, before)
 
 
 R.sql(
@@ -143,7 +149,18 @@ R.sql(
 )
 
 
-@R.query("sql_sample")
+@R.query("sql_sample", "SELECT count(*) AS orders, true AS all_are_orders, true AS each_once, true AS share_fits FROM orders")
 def sql_sample(spark, folder):
-    """Sampling: a random tenth, so only its shape can be checked."""
-    return table(spark, folder, "orders").sample(fraction=0.1, seed=7).select("o_orderkey", "o_totalprice", F.col("o_orderdate"))
+    """Sampling: a random tenth, shown by what must hold for it: a subset, each row once, a share within six deviations."""
+    orders = table(spark, folder, "orders")
+    drawn = orders.sample(fraction=0.1, seed=7).select("o_orderkey", "o_totalprice")
+    known = orders.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
+    facts = drawn.join(known, (F.col("o_orderkey") == F.col("key")) & (F.col("o_totalprice") == F.col("price")), "left").agg(
+        F.count("*").alias("n"), F.count("key").alias("found"), F.count_distinct("o_orderkey").alias("keys")
+    )
+    return orders.agg(F.count("*").alias("orders")).join(facts).select(
+        "orders",
+        (F.col("found") == F.col("n")).alias("all_are_orders"),
+        (F.col("keys") == F.col("n")).alias("each_once"),
+        (F.abs(F.col("n") - 0.1 * F.col("orders")) <= 6 * F.sqrt(0.09 * F.col("orders"))).alias("share_fits"),
+    )

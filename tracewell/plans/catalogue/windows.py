@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewell.operators.aggregate import aggregate
 from tracewell.operators.ordered import moving_range, rank_rows, running_totals
 from tracewell.operators.rows import newest
+from tracewell.operators.ranges import asof_join
 from tracewell.operators.shift import shift
 from tracewell.plans.catalogue import Registry
 from tracewell.plans.catalogue.derived import ALERTS, alerts, table
@@ -82,3 +84,67 @@ def sql_frame(spark, folder):
 def topk(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     return newest(orders, ["o_orderdate", "o_orderkey"], 50, 10)
+
+
+# The same operators with a limit so small that groups are cut into slices at any size of the tables.
+CUT_ROWS = 400
+
+
+@R.query(
+    "shift_cut",
+    """SELECT event_id, lag(value, 2) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before,
+              lead(value, 1) OVER (ORDER BY ts, event_id) AS after FROM events""",
+)
+def shift_cut(spark, folder):
+    """Shifts within types and over the whole table, from slices."""
+    events = table(spark, folder, "events").select("event_id", "event_type", "ts", "value")
+    one = shift(events, ["event_type"], "value", "before", 2, ["ts", "event_id"], rows_per_task=CUT_ROWS)
+    return shift(one, [], "value", "after", -1, ["ts", "event_id"], rows_per_task=CUT_ROWS).select("event_id", "before", "after")
+
+
+@R.query(
+    "rank_cut",
+    """SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber) AS row_number,
+              rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, percent_rank() OVER w AS percent_rank, cume_dist() OVER w AS cume_dist,
+              ntile(4) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber) AS quarter
+       FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate)""",
+)
+def rank_cut(spark, folder):
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")
+    ranked = rank_rows(lines, ["l_returnflag"], "l_shipdate", ["l_orderkey", "l_linenumber"], tiles=4, rows_per_task=CUT_ROWS)
+    return ranked.drop("l_returnflag", "l_shipdate").withColumnRenamed("ntile", "quarter")
+
+
+@R.query(
+    "frame_cut",
+    """SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS running,
+              count(*) OVER d AS hour_count, max(value) OVER d AS hour_max
+       FROM events WINDOW d AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)""",
+)
+def frame_cut(spark, folder):
+    events = table(spark, folder, "events").select("event_id", "event_type", "ts", "value")
+    running = running_totals(events, ["event_type"], ["ts", "event_id"], {"running": F.col("value")}, rows_per_task=CUT_ROWS)
+    frames = {"hour_count": ("count", F.lit(1)), "hour_max": ("max", F.col("value"))}
+    out = moving_range(running, ["event_type"], "ts", 3_600, frames, rows_per_task=CUT_ROWS)
+    return out.select("event_id", F.round("running", 2).alias("running"), "hour_count", "hour_max")
+
+
+@R.query("median_cut", "SELECT l_returnflag, median(l_extendedprice) AS price, median(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag")
+def median_cut(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    out = aggregate(lines, ["l_returnflag"], {"l_extendedprice": "median", "l_quantity": "median"}, rows_per_task=CUT_ROWS)
+    return out.toDF("l_returnflag", "price", "quantity")
+
+
+@R.query(
+    "asof_cut",
+    """SELECT v.event_id, c.event_id AS last_error FROM events v
+       ASOF LEFT JOIN (SELECT event_id, user_id % 3 AS grp, ts FROM events WHERE event_type = 'error') c
+       ON v.user_id % 3 = c.grp AND v.ts >= c.ts WHERE v.event_type <> 'error'""",
+)
+def asof_cut(spark, folder):
+    events = table(spark, folder, "events").withColumn("grp", F.col("user_id") % 3)
+    others = events.where("event_type <> 'error'").select("event_id", "grp", "ts")
+    errors = events.where("event_type = 'error'").selectExpr("grp", "ts AS at", "event_id AS last_error")
+    out = asof_join(others, errors, ["grp"], "ts", "at", ["last_error"], "last_error", CUT_ROWS)
+    return out.select("event_id", "last_error")
