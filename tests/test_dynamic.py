@@ -58,3 +58,12 @@ def test_many_small_components_and_a_large_one(spark):
     out = dynamic_aggregate(df, ["h", "r", "c"], {"n": ["count"]}, ["h", "r", "c"], {"n_count": "sum"}, component_rows=9)
     got = sorted((r["h"], r["r"], r["c"], r["n_count"]) for r in out.collect())
     assert got == sorted((*values, n) for values, n in model([(row, 1) for row in data], 3))
+
+
+def test_specs_that_rename_run_over_layers(spark):
+    data = [("a", "x", 1), ("a", "y", 2), ("b", "x", 3), ("b", "y", 4)]
+    df = spark.createDataFrame(data, "h string, r string, v int")
+    out = dynamic_aggregate(df, ["h", "r"], {"v": ["sum"]}, ["h", "r"], {"v_sum": ["min", "sum"]})
+    assert [tuple(r) for r in out.collect()] == [("a,b", "x,y", 1, 10, True)]
+    with pytest.raises(ValueError):
+        dynamic_aggregate(df, ["h", "r"], {"v": ["sum"]}, ["h", "r"], {"v_sum": "median"})

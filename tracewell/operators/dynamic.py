@@ -5,14 +5,13 @@ equal on all dynamic keys but one), the one with the most unmerged rows, the
 earlier key on ties. The merged row keeps the common keys and lists the values
 of the dropped one. Layers repeat while the number of rows shrinks.
 
-While all rows together fit the task limit, which is checked, they are solved in
-one task. Beyond it: a row's choice depends only on rows it can reach over shared
-lines, so connected components are independent, and small ones are solved in
-batches inside tasks. A
-component over the task limit is solved by rounds of joins instead. There a row
+A row's choice depends only on rows it can reach over shared lines, so connected
+components are independent; they are found first, at any size of the table, and
+those within the task limit are solved in batches inside tasks. A component over the task limit is solved by rounds of joins instead. There a row
 may act as soon as it is the smallest unmerged row within two steps: no earlier
 row can then change its lines, so the result is the sequential one. Merging
-itself is a plain Spark aggregation in both cases.
+itself is a plain Spark aggregation in both cases. A dense component over the
+limit may need a round for every few merged rows.
 """
 
 from __future__ import annotations
@@ -24,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.columns import col, cols
-from tracewell.operators.aggregate import Spec, aggregate, aggregate_columns, expand_spec
-from tracewell.session import cut_lineage
+from tracewell.operators.aggregate import ORDERED, PARTIAL, Spec, aggregate, aggregate_columns, expand_spec
+from tracewell.session import cut_lineage, new_path
 
 ID = "__id"
 COMPONENT_ROWS = 200_000
@@ -42,15 +41,21 @@ def dynamic_aggregate(
     component_rows: int = COMPONENT_ROWS,
 ) -> DataFrame:
     """Columns: dynamic keys, the columns of `dynamic_spec`, aggregated = true."""
+    triples = expand_spec(dynamic_spec)
+    if unknown := sorted({fn for _, fn, _ in triples} - {*PARTIAL, *ORDERED}):
+        raise ValueError(f"{unknown} cannot be taken over layers; known: {sorted([*PARTIAL, *ORDERED])}")
     base = aggregate(df, groupby, spec, list_to_text, order_by)
-    kept = [name for _, _, name in expand_spec(dynamic_spec)]
+    # Each result has a column of its own from the start, so that a layer can read what the last one made.
+    base = base.select("*", *[col(column).alias(name) for column, _, name in triples if name != column])
+    dynamic_spec = {name: fn for _, fn, name in triples}
+    kept = list(dynamic_spec)
     text_keys = [F.coalesce(col(k).cast("string"), F.lit("-")).alias(k) for k in dynamic_keys]
     # Ids follow the group order, nulls last, and are fixed by the checkpoint.
     in_order = base.orderBy(*[col(g).asc_nulls_last() for g in groupby])
     rows = cut_lineage(in_order.select(F.monotonically_increasing_id().alias(ID), *text_keys, *cols(dynamic_spec)))
     size = rows.count()
     while True:
-        merged = cut_lineage(merge_layer(rows, size, dynamic_keys, dynamic_spec, component_rows))
+        merged = cut_lineage(merge_layer(rows, dynamic_keys, dynamic_spec, component_rows))
         merged_size = merged.count()
         if merged_size >= size:
             break
@@ -58,8 +63,8 @@ def dynamic_aggregate(
     return rows.select(*cols(dynamic_keys), *cols(kept), F.lit(True).alias("aggregated"))
 
 
-def merge_layer(rows: DataFrame, size: int, keys: Sequence[str], spec: Spec, component_rows: int) -> DataFrame:
-    seeds = assign_seeds(rows, size, keys, component_rows)
+def merge_layer(rows: DataFrame, keys: Sequence[str], spec: Spec, component_rows: int) -> DataFrame:
+    seeds = assign_seeds(rows, keys, component_rows)
     joined = rows.join(seeds, ID)
     values = [
         F.when(F.col("field") == i, F.array_join(F.sort_array(F.collect_set(F.when(F.col("field") == i, col(k)))), ","))
@@ -92,14 +97,8 @@ def line_edges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return through.join(numbered, ["field", *names]).select(ID, "field", "line", "size")
 
 
-def assign_seeds(rows: DataFrame, size: int, keys: Sequence[str], component_rows: int) -> DataFrame:
-    """(id, seed, field) for every row."""
-    if size <= component_rows:
-        # One task sees all rows, so a line's own text may stand for its number.
-        texts = [
-            F.to_json(F.array(F.lit(str(i)), *[col(k) for k in keys if k != dropped])) for i, dropped in enumerate(keys)
-        ]
-        return solve_in_tasks(rows.select(F.col(ID).alias("id"), F.array(*texts).alias("lines"), F.lit(0).alias("batch")))
+def assign_seeds(rows: DataFrame, keys: Sequence[str], component_rows: int) -> DataFrame:
+    """(id, seed, field) for every row: components first, so no task sees more than whole components of a bounded size."""
     edges = cut_lineage(line_edges(rows, keys))
     # Rows alone on all their lines stay as they are.
     alone = edges.groupBy(ID).agg(F.max("size").alias("most")).where("most = 1")
@@ -172,7 +171,7 @@ def solve_in_tasks(source: DataFrame) -> DataFrame:
 def solve_by_rounds(edges: DataFrame) -> DataFrame:
     """Greedy over one component of any size: every round all safe rows act."""
     left = cut_lineage(edges.select(ID, "field", "line"))
-    done = None
+    path = new_path(edges.sparkSession, "merged")
     while not left.isEmpty():
         near = smallest_over_lines(left, left.select(ID, F.col(ID).alias("low")).distinct())
         leaders = smallest_over_lines(left, near).where(F.col("low") == F.col(ID)).select(ID)
@@ -186,8 +185,8 @@ def solve_by_rounds(edges: DataFrame) -> DataFrame:
         )
         taken = cut_lineage(left.join(choice, "line").select(ID, "seed", F.col("chosen").alias("field")))
         left = cut_lineage(left.join(taken.select(ID), ID, "left_anti"))
-        done = taken if done is None else done.unionByName(taken)
-    return done
+        taken.write.mode("append").parquet(path)
+    return edges.sparkSession.read.schema(f"{ID} bigint, seed bigint, field int").parquet(path)
 
 
 def smallest_over_lines(edges: DataFrame, lows: DataFrame) -> DataFrame:

@@ -114,6 +114,21 @@ def agg_dynamic(spark, folder):
     return rename_all(out, ["host", "rule", "command", "ts_min", "ts_max", "ts_count", "aggregated"])
 
 
+@R.query(
+    "agg_dynamic_lines",
+    """SELECT CAST(o_custkey AS VARCHAR) AS customer, 'twin-' || o_custkey AS twin, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priority,
+              CAST(count(*) AS BIGINT) AS orders, max(o_totalprice) AS largest, min(o_totalprice) AS smallest FROM orders GROUP BY o_custkey""",
+)
+def agg_dynamic_lines(spark, folder):
+    """Groups that can be merged along one key only, so the result has an SQL form."""
+    orders = table(spark, folder, "orders").selectExpr("o_custkey", "'twin-' || o_custkey AS twin", "o_orderpriority", "o_totalprice")
+    keys = ["o_custkey", "twin", "o_orderpriority"]
+    out = dynamic_aggregate(
+        orders, keys, {"o_totalprice": ["count", "max", "min"]}, keys, {"o_totalprice_count": "sum", "o_totalprice_max": "max", "o_totalprice_min": ["min"]}
+    )
+    return out.drop("aggregated").toDF("customer", "twin", "priority", "orders", "largest", "smallest")
+
+
 @R.query("list_to_str", f"WITH {ALERTS} SELECT pid, indices FROM alerts")
 def list_to_str(spark, folder):
     out = lists_to_text(alerts(spark, folder), {"rule.indices": "indices"})
