@@ -125,3 +125,15 @@ def test_validation(spark):
     with pytest.raises(ValueError):
         validate(df, {"s": Rule("uuid")})
     assert F is not None
+
+
+def test_first_top_level_aggregation_and_leaf_keys(spark):
+    request = {
+        "sizes": {"range": {"field": "size"}, "aggs": {"kinds": {"terms": {"field": "kind"}}, "top": {"max": {"field": "v"}}}},
+        "other": {"terms": {"field": "user"}, "aggs": {"n": {"max": {"field": "w"}}}},
+    }
+    assert request_layers(request) == ([("sizes", "size_range"), ("kinds", "kind_terms")], [("top", "v_max")])
+    flat = {"sizes": {"range": {"field": "size"}}, "other": request["other"]}
+    body = '{"aggregations": {"sizes": {"buckets": [{"key": "*-5", "from": 0, "to": 5, "doc_count": 3}, {"key": "5-*", "from": 5, "doc_count": 1}]}, "other": {"buckets": []}}}'
+    out = flatten_buckets(spark.createDataFrame([(body,)], "body string"), "body", flat, leaf_keys=["from", "to"])
+    assert [(r["size_range"], r["doc_count"], r["from"], r["to"]) for r in out.collect()] == [("*-5", 3, "0", "5"), ("5-*", 1, "5", None)]

@@ -30,7 +30,11 @@ class DateHistogram:
     kind: str = field(default="date_histogram", init=False)
 
 
-# Metric names and their aggregates.
+# Kinds of aggregations that make buckets, and metric names with their aggregates.
+BUCKET_KINDS = {
+    "terms", "multi_terms", "rare_terms", "significant_terms", "date_histogram", "auto_date_histogram", "histogram", "range", "date_range", "ip_range",
+    "composite", "geohash_grid",
+}
 METRICS = {
     "avg": F.avg,
     "sum": F.sum,
@@ -79,8 +83,8 @@ def bucket_aggregate(
 def request_layers(aggs: Mapping) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """(layers, metrics) of an aggregation request as (name, column name) pairs.
 
-    The first aggregation with nested ones, or the first of all, is the layer;
-    the others at the same level are metrics of the layer around them.
+    A response is read from its first top-level aggregation, whatever else was asked for. Below it the last aggregation
+    that makes buckets is the next layer; the others at its level are metrics of the layer around them.
     """
     layers: list[tuple[str, str]] = []
     metrics: list[tuple[str, str]] = []
@@ -93,9 +97,12 @@ def request_layers(aggs: Mapping) -> tuple[list[tuple[str, str]], list[tuple[str
 
     level = dict(aggs)
     while level:
-        nested = [n for n, body in level.items() if "aggs" in body]
-        layer = nested[-1] if nested else (next(iter(level)) if not layers else None)
-        metrics.extend((n, header(n, body)) for n, body in level.items() if n != layer)
+        nested = [n for n, body in level.items() if "aggs" in body or BUCKET_KINDS & set(body)]
+        if not layers:
+            layer = next(iter(level))
+        else:
+            layer = nested[-1] if nested else None
+            metrics.extend((n, header(n, body)) for n, body in level.items() if n not in nested)
         if layer is None:
             break
         layers.append((layer, header(layer, level[layer])))
@@ -103,23 +110,28 @@ def request_layers(aggs: Mapping) -> tuple[list[tuple[str, str]], list[tuple[str
     return layers, metrics
 
 
-def response_schema(layers: Sequence[tuple[str, str]], metrics: Sequence[tuple[str, str]]) -> str:
+def response_schema(layers: Sequence[tuple[str, str]], metrics: Sequence[tuple[str, str]], leaf_keys: Sequence[str] = ()) -> str:
     metric_type = "STRUCT<value: STRING, value_as_string: STRING>"
     shape = ""
     for name, _ in reversed(layers):
-        inner = "".join(f", `{m}`: {metric_type}" for m, _ in metrics) if not shape else f", {shape}"
+        leaf = [*(f", `{m}`: {metric_type}" for m, _ in metrics), *(f", `{k}`: STRING" for k in leaf_keys)]
+        inner = "".join(leaf) if not shape else f", {shape}"
         shape = f"`{name}`: STRUCT<buckets: ARRAY<STRUCT<key: STRING, key_as_string: STRING, doc_count: BIGINT{inner}>>>"
     return f"STRUCT<aggregations: STRUCT<{shape}>, rawResponse: STRUCT<aggregations: STRUCT<{shape}>>>"
 
 
-def flatten_buckets(df: DataFrame, response: str, aggs: Mapping | str, carry: Sequence[str] = ()) -> DataFrame:
+def flatten_buckets(
+    df: DataFrame, response: str, aggs: Mapping | str, carry: Sequence[str] = (), leaf_keys: Sequence[str] = ()
+) -> DataFrame:
     """Rows of a bucket response held as JSON text, one per innermost bucket.
 
     A metric prefers its text value over its number. `rawResponse` wrappers are
-    looked into. `carry` columns of the response row are kept.
+    looked into. `carry` columns of the response row are kept. `leaf_keys` names
+    further plain keys of the innermost buckets, such as `from` and `to` of a
+    range, which keep their names and come as text.
     """
     layers, metrics = request_layers(json.loads(aggs) if isinstance(aggs, str) else aggs)
-    parsed = F.from_json(col(response), response_schema(layers, metrics)).alias("r")
+    parsed = F.from_json(col(response), response_schema(layers, metrics, leaf_keys)).alias("r")
     root = F.coalesce(F.col("r.rawResponse.aggregations"), F.col("r.aggregations"))
     rows = df.select(*cols(carry), parsed).select(*cols(carry), root[layers[0][0]]["buckets"].alias("buckets"))
     headers: list[str] = []
@@ -133,5 +145,5 @@ def flatten_buckets(df: DataFrame, response: str, aggs: Mapping | str, carry: Se
             values = [
                 F.coalesce(F.col("b")[m]["value_as_string"], F.col("b")[m]["value"]).alias(h) for m, h in metrics
             ]
-            rows = exploded.select(*here, F.col("b.key_as_string"), F.col("b.doc_count"), *values)
+            rows = exploded.select(*here, F.col("b.key_as_string"), F.col("b.doc_count"), *values, *[F.col("b")[k].alias(k) for k in leaf_keys])
     return rows
