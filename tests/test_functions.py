@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions.network import ip_bits, ip_is_private, ip_port2ip, validate_ip_address
-from tracewell.functions.register import register_functions
+from tracewell.functions.register import pattern_first, register_functions
 from tracewell.functions.text import bytes_to_string, regexp_find_all, regexp_search, regexp_substr
 from tracewell.functions.times import (
     datetime_to_timestamp, local_to_epoch_millis, shift_seconds, spark_pattern, unixtime_to_iso_timestamp,
@@ -137,7 +137,11 @@ def test_shifted_times(spark):
 
 def test_registered_names(spark):
     register_functions(spark)
-    row = spark.sql("""SELECT regexp('a+', 'baab') a, regexp_substr('a', 'banana') b, ip_is_private('10.1.1.1') c,
-        unixtime_to_iso_timestamp('0') d, bytes_to_string(2048) e, ip_port2ip('h:1') f, validate_ip_address('::') g""").first()
+    row = spark.sql(pattern_first("""SELECT regexp('a+', 'baab') a, regexp_substr('a', 'banana') b, ip_is_private('10.1.1.1') c,
+        unixtime_to_iso_timestamp('0') d, bytes_to_string(2048) e, ip_port2ip('h:1') f, validate_ip_address('::') g""")).first()
     assert tuple(row) == (True, "['a', 'a', 'a']", True, "1970-01-01T00:00:00.000+00:00", "2.0 KB", "h", True)
     assert not math.isnan(row["c"])
+    # The built-ins of the same names are as they were, and so are texts, names and the operator.
+    assert tuple(spark.sql("SELECT regexp('baab', 'a+'), regexp_substr('banana', 'n.')").first()) == (True, "na")
+    kept = "SELECT 'regexp(' || \"regexp_substr(\", t.regexp(1), x REGEXP ('a') -- regexp("
+    assert pattern_first(kept) == kept

@@ -122,6 +122,8 @@ def test_validation(spark):
     assert out[2]["violations"] == ["s: required", "i: required", "f: no default"]
     assert out[2]["ip"] == "127.0.0.1" and out[2]["l"] == "[]" and out[2]["d"] == datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d")
     assert [v.split(":")[0] for v in out[3]["violations"]] == ["d", "l", "m"]
+    bad = {"ip": Rule("ip_address", False, "nowhere"), "f": Rule("float", False, "1.5d"), "b": Rule("boolean", False)}
+    assert validate(df.where("k = 2"), bad).first()["violations"] == ["ip: not a valid ip_address", "f: not a valid float", "b: no default"]
     with pytest.raises(ValueError):
         validate(df, {"s": Rule("uuid")})
     assert F is not None

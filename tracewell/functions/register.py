@@ -2,9 +2,10 @@
 
 All but two are SQL functions: Catalyst inlines them, so they stay inside
 generated code. `regexp` and `regexp_substr` are built-in names with the
-arguments the other way round; the established order (pattern first) replaces
-them as Arrow-batched functions, with native twins `regexp_search` and
-`regexp_find_all` for large tables.
+arguments the other way round. The built-ins stay as they are: `pattern_first`
+renames calls in the established order (pattern first) to Arrow-batched
+functions with names of their own. `regexp_search` and `regexp_find_all` are
+native twins for large tables.
 """
 
 from __future__ import annotations
@@ -45,10 +46,18 @@ def pattern_first_functions():
     return F.pandas_udf(search, "boolean"), F.pandas_udf(find_all, "string")
 
 
-def register_functions(spark: SparkSession, pattern_first: bool = True) -> None:
+# Quoted text and comments, which are left alone, or a call.
+CALLS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|(?<![\w.])(regexp|regexp_substr)(?=\()""", re.I | re.S)
+
+
+def pattern_first(query: str) -> str:
+    """The query with calls of `regexp` and `regexp_substr` renamed; the infix operator has a space before its text."""
+    return CALLS.sub(lambda m: f"pattern_first_{m[1].lower()}" if m[1] else m[0], query)
+
+
+def register_functions(spark: SparkSession) -> None:
     for signature, (kind, body) in NATIVE.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")
-    if pattern_first:
-        search, find_all = pattern_first_functions()
-        spark.udf.register("regexp", search)
-        spark.udf.register("regexp_substr", find_all)
+    search, find_all = pattern_first_functions()
+    spark.udf.register("pattern_first_regexp", search)
+    spark.udf.register("pattern_first_regexp_substr", find_all)

@@ -135,7 +135,9 @@ def enrich_assets(
     hit = asked.join(first, asked["target"] == first["address"]).select(
         "target", blank(F.col("hit.description")).alias("description"), blank(F.col("hit.hostname")).alias("hostname")
     )
-    known = devices.select(
+    # A host has one device: the first by its id.
+    device = devices.groupBy("hostname").agg(F.min_by(F.struct(*devices.columns), F.col("device_id")).alias("d")).select("d.*")
+    known = device.select(
         F.col("hostname").alias("__host"),
         "device_id",
         blank(F.col("description")).alias("description_of_assignment"),

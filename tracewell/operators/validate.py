@@ -13,6 +13,9 @@ from tracewell.functions.network import validate_ip_address
 from tracewell.functions.times import spark_pattern
 
 
+FLOAT = r"(?i)^[+-]?(inf(inity)?|nan|([0-9]+(_[0-9]+)*[.]?([0-9]+(_[0-9]+)*)?|[.][0-9]+(_[0-9]+)*)(e[+-]?[0-9]+(_[0-9]+)*)?)$"
+
+
 @dataclass(frozen=True)
 class Rule:
     """Type of a text column: string, ip_address, datetime, integer, float, boolean, list, dict."""
@@ -37,7 +40,7 @@ def _fault(name: str, rule: Rule) -> Column:
     elif rule.type == "integer":
         good = F.trim(value).rlike(r"^[+-]?[0-9]+(_[0-9]+)*$")
     elif rule.type == "float":
-        good = F.trim(value).try_cast("double").isNotNull()
+        good = F.trim(value).rlike(FLOAT)
     elif rule.type == "boolean":
         good = F.lit(True)  # every value has a truth value
     elif rule.type == "list":
@@ -53,7 +56,8 @@ def validate(df: DataFrame, rules: Mapping[str, Rule], client_ip: str | None = N
     """Fill defaults and list the faults of every row in `violations`.
 
     Defaults are literals, `now` (datetime columns, in the column's format) or
-    `client_ip`. A missing value is a fault when required or without default.
+    `client_ip`, and are checked like values. A missing value is a fault when
+    required or without default.
     """
     filled, faults = [], []
     for name, rule in rules.items():
@@ -68,10 +72,9 @@ def validate(df: DataFrame, rules: Mapping[str, Rule], client_ip: str | None = N
                 default = F.lit(client_ip)
             else:
                 default = F.lit(rule.default)
-            value, missing = F.coalesce(col(name), default), None
+            value, missing = F.coalesce(col(name), default), F.lit(f"{name}: no default")
         filled.append(value.alias(name))
-        present = _fault(name, rule)
-        faults.append(F.when(col(name).isNull(), missing if missing is not None else F.lit(None)).otherwise(present))
+        faults.append(F.when(col(name).isNull(), missing).otherwise(_fault(name, rule)))
     others = [n for n in df.columns if n not in rules]
     violations = F.filter(F.array(*faults), lambda x: x.isNotNull()).alias("violations")
-    return df.select(*cols(others), *filled, violations)
+    return df.select(*cols(others), *filled).select(*cols(others), *cols(rules), violations)

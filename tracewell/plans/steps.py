@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.functions.register import register_functions
+from tracewell.functions.register import pattern_first, register_functions
 from tracewell.operators.reshape import normalize_columns
 
 
@@ -45,6 +45,8 @@ def sql_step(
     """
     if functions:
         register_functions(spark)
+        final_query = pattern_first(final_query)
+        preparatory_queries = [(name, pattern_first(select)) for name, select in preparatory_queries]
     views = {name: normalize_columns(df, to_text) for name, df in inputs.items()}
     made = [name for name, _ in preparatory_queries]
     with named_views(spark, views, made):
