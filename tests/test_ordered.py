@@ -129,12 +129,13 @@ def test_slices_only_for_groups_over_the_limit(table):
         plan_slices(table, ["t"], "k", 2)
 
 
-def test_many_hot_groups_are_cut_without_a_list(table, rows, monkeypatch):
+def test_many_hot_groups_are_joined_not_broadcast(table, rows, monkeypatch):
     from tracewell.operators import ordered
 
     monkeypatch.setattr(ordered, "FEW_GROUPS", 0)
     slices = plan_slices(table, ["k"], "t", 25)
-    assert slices.split and slices.hot is None and not slices.few
+    counts = rows["k"].value_counts(dropna=False)
+    assert slices.split and slices.hot.count() == (counts > 25).sum() == slices.groups
     got = {r["id"]: r["n"] for r in running_totals(table, ["k"], ["t", "id"], {"n": F.lit(1)}, rows_per_task=25).collect()}
     ordered_rows = rows.sort_values(["t", "id"])
     assert got == dict(zip(ordered_rows["id"], ordered_rows.groupby("k", dropna=False).cumcount() + 1))

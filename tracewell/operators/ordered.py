@@ -25,7 +25,7 @@ SLICE = "__slice"
 HOT = "__hot"
 HALO = "__halo"
 MAX_SLICES = 4096
-# Lists up to these lengths are broadcast: cut groups, and their slices.
+# Lists up to these lengths are broadcast: cut groups, and their slices. Longer ones are joined.
 FEW_GROUPS = 10_000
 FEW_ROWS = 500_000
 
@@ -34,8 +34,8 @@ FEW_ROWS = 500_000
 class Slices:
     """Ascending cut points of the order column; none means that nothing is cut.
 
-    `hot` lists the groups that are cut, at most FEW_GROUPS. Without it every
-    group is cut.
+    `hot` lists the groups that are cut; it is broadcast up to FEW_GROUPS of them.
+    Without keys the whole table is the one group.
     """
 
     bounds: tuple[float, ...] = ()
@@ -82,26 +82,26 @@ def plan_slices(
     if not groups:
         return Slices()
     # The list is used several times, so it is counted once more and kept.
-    hot = cut_lineage(sizes.select(*cols(keys))) if keys and groups <= FEW_GROUPS else None
+    hot = cut_lineage(sizes.select(*cols(keys))) if keys else None
     wanted = min(MAX_SLICES, -(-rows // limit))
     shares = [i / wanted for i in range(1, wanted)]
-    marked = mark_hot(df, keys, hot).where(HOT)
+    marked = mark_hot(df, keys, Slices((), hot, groups)).where(HOT)
     number = as_number(marked, order_column)
     cuts = marked.select(F.percentile_approx(number, shares, max(10_000, 10 * wanted)).alias("cuts")).first()["cuts"]
-    known = groups if hot is not None or not keys else None
-    return Slices(tuple(sorted(set(cuts or ()))), hot, known)
+    return Slices(tuple(sorted(set(cuts or ()))), hot, groups)
 
 
-def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
-    if hot is None:
+def mark_hot(df: DataFrame, keys: Sequence[str], slices: Slices) -> DataFrame:
+    if slices.hot is None:
         return df.withColumn(HOT, F.lit(True))
-    marked = attach(df, hot.withColumn(HOT, F.lit(True)), keys, small=True)
+    short = slices.groups is not None and slices.groups <= FEW_GROUPS
+    marked = attach(df, slices.hot.withColumn(HOT, F.lit(True)), keys, small=short)
     return marked.withColumn(HOT, F.coalesce(HOT, F.lit(False)))
 
 
 def add_slices(df: DataFrame, keys: Sequence[str], order_column: str, slices: Slices) -> DataFrame:
     """Add HOT and SLICE: found by binary search over the cut points, -1 for nulls, 0 in whole groups."""
-    marked = mark_hot(df, keys, slices.hot)
+    marked = mark_hot(df, keys, slices)
     number = as_number(marked, order_column)
 
     def search(low: int, high: int) -> Column:
