@@ -47,10 +47,10 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bytes_ = F.coalesce(col("text").cast("binary"), F.lit(b""))
     rows = docs.select(text_key(col("text")).alias("text_key"), bytes_.alias("text"))
-    buckets = shuffle_slices(rows)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as the aggregation leaves them: no second shuffle
     once = rows.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     name = f"tracewell_texts_{uuid4().hex}"
-    writer = once.repartition(buckets, "text_key").write.bucketBy(buckets, "text_key").sortBy("text_key").option("compression", "zstd")
+    writer = once.write.bucketBy(buckets, "text_key").sortBy("text_key").option("compression", "zstd")
     writer.option("path", new_path(spark, "texts")).saveAsTable(name)
     return spark.table(name)
 
