@@ -96,21 +96,53 @@ def shortest_prefix(threshold: float = THRESHOLD, recall: float = RECALL) -> int
     return length
 
 
-def _link(sketches: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join the likely pairs among `rows`: all pairs for few rows, else by leaders, then between their groups."""
+class Roots:
+    """Union-find over row numbers."""
+
+    def __init__(self, count: int) -> None:
+        self.of = list(range(count))
+
+    def find(self, x: int) -> int:
+        while self.of[x] != x:
+            self.of[x] = self.of[self.of[x]]
+            x = self.of[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.of[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _likely(sketches: np.ndarray, one: int, rows: np.ndarray) -> np.ndarray:
+    return (sketches[rows] == sketches[one]).mean(axis=1) >= LIKELY
+
+
+def _link(sketches: np.ndarray, rows: np.ndarray, roots: Roots) -> list[tuple[int, int]]:
+    """Join what likely pairs among `rows` connect; the edges that were needed, fewer than rows.
+
+    The first row left takes all that are like it, then the next; two groups that are still apart are compared pair by
+    pair until one likely pair is found.
+    """
     edges: list[tuple[int, int]] = []
     left, groups = rows, []
     while len(left):
-        near = (sketches[left] == sketches[left[0]]).mean(axis=1) >= LIKELY
-        edges += [(int(left[0]), int(r)) for r in left[near][1:]]
+        near = _likely(sketches, left[0], left)
+        near[0] = True
+        edges += [(int(left[0]), int(r)) for r in left[near][1:] if roots.join(int(left[0]), int(r))]
         groups.append(left[near])
         left = left[~near]
     for k, group in enumerate(groups):
-        rest = np.concatenate(groups[k + 1 :]) if k + 1 < len(groups) else rows[:0]
-        for r in group[1:]:  # the leader has met all of them
-            for at in range(0, len(rest), 4096):
-                part = rest[at : at + 4096]
-                edges += [(int(r), int(x)) for x in part[(sketches[part] == sketches[r]).mean(axis=1) >= LIKELY]]
+        for other in groups[k + 1 :]:
+            if roots.find(int(group[0])) == roots.find(int(other[0])):
+                continue
+            few, many = sorted((group, other), key=len)
+            for r in few.tolist():
+                hits = many[_likely(sketches, r, many)]
+                if len(hits):
+                    roots.join(r, int(hits[0]))
+                    edges.append((r, int(hits[0])))
+                    break
     return edges
 
 
@@ -123,30 +155,17 @@ def _candidates(shortest: int) -> Callable[[pa.Table], pa.Table]:
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(path), -1)
         order = np.lexsort(path.T[::-1])
         path, sketch = path[order], sketch[order]
-        group = np.arange(len(path))  # first row of the group a row was linked to
-        edges: list[tuple[int, int]] = []
+        roots, edges = Roots(len(path)), []
         for length in range(DEPTH, shortest - 1, -1):
             same = np.zeros(len(path), dtype=bool)
             same[1:] = (path[1:, : 1 + 4 * length] == path[:-1, : 1 + 4 * length]).all(axis=1)
             starts = np.flatnonzero(~same)
             sizes = np.diff(np.append(starts, len(path)))
             for start, count in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                rows = np.arange(start, start + count)
-                if (group[rows] == group[start]).all():
-                    continue  # a longer prefix has joined them
-                found = _link(sketch, rows)
-                edges += found
-                root = {int(r): int(group[r]) for r in rows}
-                for a, b in found:
-                    old, new = sorted((root[a], root[b]), reverse=True)
-                    if old != new:
-                        for r in root:
-                            if root[r] == old:
-                                root[r] = new
-                for r, g in root.items():
-                    group[r] = g
+                if len({roots.find(r) for r in range(start, start + count)}) > 1:  # else a longer prefix has joined them
+                    edges += _link(sketch, np.arange(start, start + count), roots)
         keys = table.column("text_key").take(pa.array(order))
-        a, b = (np.array(x, dtype=np.int64) for x in zip(*sorted(set(edges)))) if edges else (np.zeros(0, np.int64),) * 2
+        a, b = np.array(edges, dtype=np.int64).reshape(-1, 2).T
         return pa.table({"a": keys.take(pa.array(a)), "b": keys.take(pa.array(b))})
 
     return run
