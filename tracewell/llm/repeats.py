@@ -144,7 +144,7 @@ class SuffixLevels:
         table, size = self._table(counted.repartition(self.buckets, "seed")), 1
         self.met.append(table.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"))
         for _, level in self.levels:
-            self.met.append(table.select("seed").join(level.select("seed"), "seed").distinct())
+            self.met.append(table.select("seed").distinct().join(level.select("seed"), "seed", "left_semi"))
         while self.levels and self.levels[-1][0] == size:
             _, level = self.levels.pop()
             table = self._table(level.unionByName(table).groupBy("seed", "span").agg(F.sum("n").alias("n")))
