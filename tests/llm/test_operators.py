@@ -399,3 +399,19 @@ def test_neighbours(spark):
     assert nearest(table.limit(0), table.limit(0)).count() == 0
     few = nearest(table.where("vec_id in (0, 1, 2, 1000)"), table.where("vec_id = 0")).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
+
+
+def test_neighbours_read_as_many_lists_as_recall_needs(spark, monkeypatch):
+    monkeypatch.setattr("tracewell.llm.neighbours.LIST_ROWS", 8)  # 500 lists
+    vectors = np.random.default_rng(7).normal(size=(4000, 32))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(8)
+    found = defaultdict(set)
+    for r in nearest(rows, rows.where("vec_id % 20 = 0")).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4000, 20):
+        scores = unit @ unit[q]
+        scores[q] = -2
+        hits += len(found[q] & set(np.argsort(-scores)[:5].tolist()))
+    assert hits >= 0.98 * 5 * 200

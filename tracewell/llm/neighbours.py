@@ -20,8 +20,11 @@ SAMPLE_PER_LIST = 48  # vectors the centroids are fitted on: at most so many a l
 MOST_SAMPLE = 200_000  # so many in all
 REPLICAS = 4  # lists that a boundary vector may be in
 REPLICA_RATIO = 1.2  # ... with centroids at most so many times as far as the nearest one
-SEARCH_RATIO = 1.4  # lists searched: centroids at most so many times as far as the nearest one
-SEARCH_LISTS = 64
+SEARCH_RATIO = 1.4  # lists searched: centroids at most so many times as far as the nearest one, if that is enough, and
+FIRST_LISTS = 64  # so many at first; more, and then at any distance, until the recall is reached
+RECALL = 0.995  # of the nearest rows of FIT_QUERIES queries, found by brute force
+FIT_QUERIES = 256
+WALK_SHARE = 16  # the graph is walked for less than one list of so many, else all centroids are compared
 DEGREE = 16
 CHUNK_ROWS = 4_096  # rows of a list that one group holds
 
@@ -60,6 +63,16 @@ class Index:
         found = sorted((-d, c) for d, c in best)
         return np.array([c for _, c in found]), np.array([d for d, _ in found])
 
+    def near(self, unit: np.ndarray, count: int, ratio: float) -> np.ndarray:
+        """Up to `count` nearest centroids, at most `ratio` times as far as the nearest one."""
+        if count * WALK_SHARE < len(self.centroids):
+            lists, away = self.search(unit, count)
+        else:
+            every = self.distances(unit[None])[0]
+            lists = np.argsort(every, kind="stable")[:count]
+            away = every[lists]
+        return lists[away <= ratio * max(away[0], 1e-6)]
+
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
@@ -150,28 +163,83 @@ def assign_lists(vectors: DataFrame, index: Index) -> DataFrame:
     return vectors.mapInArrow(run, "list long, vec_id long, v array<double>, first boolean")
 
 
-def route_queries(queries: DataFrame, index: Index, sizes: np.ndarray, least: int) -> DataFrame:
-    """(list, query_id, v): the lists each query is looked up in.
+@dataclass
+class Search:
+    """How queries choose lists: up to `count` within `ratio`, and at least the first list of `least` vectors."""
 
-    They are found by the graph and pruned by the ratio of their distance to the nearest one's; more are taken, in order
-    of distance, until they are the first list of `least` vectors.
-    """
+    index: Index
+    sizes: np.ndarray
+    least: int
+    count: int = FIRST_LISTS
+    ratio: float = SEARCH_RATIO
+
+    def lists(self, unit: np.ndarray) -> np.ndarray:
+        chosen = self.index.near(unit, self.count, self.ratio)
+        if self.sizes[chosen].sum() < self.least:
+            everything = np.argsort(self.index.distances(unit[None])[0], kind="stable")
+            chosen = everything[: int(np.searchsorted(np.cumsum(self.sizes[everything]), self.least)) + 1]
+        return chosen
+
+
+def brute_force(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int) -> DataFrame:
+    """(q, vec_id): the k nearest rows of each of few queries, which every task compares with all its rows; q is the place in `ids`."""
+    units = unit_rows(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, owner = np.full((len(ids), k), -4.0), np.zeros((len(ids), k), dtype=np.int64)
         for batch in batches:
-            lists, rows = [], []
-            for row, unit in enumerate(unit_rows(matrix(batch.column(1)))):
-                near, away = index.search(unit, SEARCH_LISTS)
-                chosen = near[away <= SEARCH_RATIO * max(away[0], 1e-6)]
-                if sizes[chosen].sum() < least:
-                    everything = np.argsort(index.distances(unit[None])[0], kind="stable")
-                    chosen = everything[: int(np.searchsorted(np.cumsum(sizes[everything]), least)) + 1]
-                lists += chosen.tolist()
-                rows += [row] * len(chosen)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lists, pa.int64()), batch.column(0).take(take), batch.column(1).take(take)], names=["list", "query_id", "v"]
-            )
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                own = part.column(0).to_numpy()
+                scores = units @ unit_rows(matrix(part.column(1))).T
+                scores[ids[:, None] == own[None, :]] = -4
+                scores, names = np.hstack([best, scores]), np.hstack([owner, np.broadcast_to(own, scores.shape)])
+                top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                best, owner = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
+        q, place = np.nonzero(best > -3)
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(owner[q, place]), pa.array(best[q, place])], names=["q", "vec_id", "score"])
+
+    found = vectors.select("vec_id", "v").mapInArrow(run, "q long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "vec_id")
+
+
+def fit_search(search: Search, vectors: DataFrame, postings: DataFrame, queries: DataFrame, k: int) -> Search:
+    """The search with the fewest lists that finds RECALL of the nearest rows of FIT_QUERIES queries, if need be all lists."""
+    total = len(search.index.centroids)
+    drawn = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(FIT_QUERIES).select("query_id", "v").toArrow()
+    if total == 1 or not len(drawn):
+        return search
+    asked = matrix(drawn.column("v"))
+    truth = brute_force(vectors, drawn.column("query_id").to_numpy(), asked, k)
+    held: dict[tuple[int, int], set[int]] = {}  # at most FIT_QUERIES * k keys
+    for r in postings.join(F.broadcast(truth), "vec_id").select("q", "vec_id", "list").distinct().collect():
+        held.setdefault((r["q"], r["vec_id"]), set()).add(r["list"])
+    units, count = unit_rows(asked), min(FIRST_LISTS, total)
+    while True:
+        for ratio in (SEARCH_RATIO, float("inf")):
+            tried = Search(search.index, search.sizes, search.least, count, ratio)
+            read = [set(tried.lists(unit).tolist()) for unit in units]
+            if sum(bool(lists & read[q]) for (q, _), lists in held.items()) >= RECALL * len(held) or (count == total and ratio > SEARCH_RATIO):
+                return tried
+        count = min(total, count + count // 4)
+
+
+def route_queries(queries: DataFrame, search: Search) -> DataFrame:
+    """(list, query_id, v): the lists each query is looked up in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part, lists, rows = batch.slice(at, 256), [], []
+                for row, unit in enumerate(unit_rows(matrix(part.column(1)))):
+                    chosen = search.lists(unit)
+                    lists += chosen.tolist()
+                    rows += [row] * len(chosen)
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lists, pa.int64()), part.column(0).take(take), part.column(1).take(take)], names=["list", "query_id", "v"]
+                )
 
     return queries.mapInArrow(run, "list long, query_id long, v array<double>")
 
@@ -204,7 +272,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     """(query_id, rank, vec_id, score): up to `k` nearest rows of each query by cosine, not counting the query's own id.
 
     Rows that cannot take part (see usable_vectors) are left out on both sides; without any the result is empty. All
-    usable rows are in the index; the centroids are fitted on a bounded sample. A list of many rows, such as one of
+    usable rows are in the index; the centroids are fitted on a bounded sample. How many lists are read is fitted at the
+    table's own size, on a bounded set of the queries against brute force. A list of many rows, such as one of
     equal vectors, is cut into chunks of CHUNK_ROWS, and its queries look into each.
     """
     vectors = saved(usable_vectors(rows, id_col, vector_col), "vectors")
@@ -224,7 +293,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
         [(r["list"], -(-r["n"] // CHUNK_ROWS)) for r in counts], "of long, chunks long"
     )
     asked = usable_vectors(queries, id_col, vector_col).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id"])
-    routed = route_queries(asked, index, sizes, 8 * (k + 1)).join(F.broadcast(chunks), F.col("list") == F.col("of"))
+    search = fit_search(Search(index, sizes, 8 * (k + 1)), vectors, postings, asked, k)
+    routed = route_queries(asked, search).join(F.broadcast(chunks), F.col("list") == F.col("of"))
     routed = routed.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "query_id", "v")
     dealt = postings.join(F.broadcast(chunks), F.col("list") == F.col("of")).select(
         "list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).alias("chunk"), "vec_id", "v"
