@@ -11,7 +11,7 @@ import pytest
 
 from tracewell.llm.html import extract, extract_pages
 from tracewell.llm.language import fit, label_rows, marginal_sums, training_windows
-from tracewell.llm.lines import line_groups, without_repeated_lines
+from tracewell.llm.lines import _bands, line_groups, without_repeated_lines
 from tracewell.llm.lm import backoff_scores
 from tracewell.llm.mixing import mix_sources, mixed_documents
 from tracewell.llm.neighbours import nearest
@@ -250,6 +250,29 @@ def test_lines(spark, docs, empty):
     assert line_groups(empty).count() == 0 and without_repeated_lines(empty).count() == 0
 
 
+def test_lines_of_a_template_meet_their_copies(spark):
+    chance = random.Random(11)
+
+    def words(n: int) -> list[str]:
+        return ["".join(chance.choices("abcdefghiklmnoprstuvwyz", k=chance.randint(4, 9))) for _ in range(n)]
+
+    template, rows = words(15), []
+    for family in range(1500):
+        line = " ".join(template + words(5))
+        rows += [(2 * family, line), (2 * family + 1, line[:-9] + "x" + line[-8:])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    keepers = {r.doc_id: r.keeper_id for r in line_groups(table).collect()}
+    sets = [shingle_set(line) for _, line in rows]
+    for a in range(0, 3000, 2):
+        assert len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1])
+    bands = defaultdict(set)
+    for r in _bands(table.selectExpr("doc_id line_key", "text line")).collect():
+        bands[r.line_key].add(r.band)
+    lost = [a for a in range(0, 3000, 2) if keepers[a] != keepers[a + 1]]
+    assert len(lost) <= 5 and not any(bands[a] & bands[a + 1] for a in lost)
+    assert len(set(keepers.values())) == 1500 + len(lost)
+
+
 def test_packing(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
