@@ -273,6 +273,16 @@ def test_lines_of_a_template_meet_their_copies(spark):
     assert len(set(keepers.values())) == 1500 + len(lost)
 
 
+def test_lines_alike_but_for_their_latin_tails(spark):
+    chance = random.Random(3)
+    body = "".join(chr(chance.randint(0x4E00, 0x9FA0)) for _ in range(1000))
+    lines = [body + "".join(chance.choices("eo ", k=97)) + "end" for _ in range(2)]
+    common = len(shingle_set(lines[0]) & shingle_set(lines[1]))
+    assert common >= 0.8 * (len(shingle_set(lines[0])) + len(shingle_set(lines[1])) - common)
+    got = line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.keeper_id for r in got} == {0: 0, 1: 0}
+
+
 def test_packing(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
