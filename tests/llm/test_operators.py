@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tracewell.llm.common import saved
 from tracewell.llm.html import extract, extract_pages
 from tracewell.llm.language import fit, label_rows, marginal_sums, training_windows
 from tracewell.llm.lines import _bands, line_groups, without_repeated_lines
@@ -318,6 +319,21 @@ def test_packing_in_several_rounds(spark):
     assert len({r.sequence_id for r in got}) <= 1.08 * total / 1024
 
 
+def test_packing_of_documents_that_fit_with_no_other(spark, monkeypatch):
+    most = []
+
+    def noted(df, label):
+        out = saved(df, label)
+        most.append(out.groupBy("grp").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr("tracewell.llm.packing.saved", noted)
+    rows = [(i, " ".join(["word"] * 600)) for i in range(3000)]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=16).collect()
+    assert len(got) == 3000 and len({r.sequence_id for r in got}) == 3000
+    assert max(most) <= 4 * 16 * 2
+
+
 def test_local_search_empties_bins():
     chance = np.random.default_rng(2)
     for _ in range(20):

@@ -18,7 +18,7 @@ from tracewell.llm.common import load, saved
 
 SEQUENCE = 1024
 GROUP_ROWS = 16_384  # documents that are packed together first
-FAN_IN = 64  # groups whose poor sequences are packed again together
+FAN_IN = 4  # groups' worth of pieces of poor sequences that are packed again together
 NEIGHBOURS = 64
 PATIENCE = 8
 POOR = 0.95  # sequences filled less are taken apart for the next round
@@ -214,18 +214,24 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 2, size: int
 
 
 def _packer(size: int, depth: int, last: bool) -> Callable[[pa.Table], pa.Table]:
-    """Packs a group's pieces; poor sequences stay without a number unless this is the last round."""
+    """Packs a group's pieces; poor sequences stay without a number unless this is the last round or they did not gain.
+
+    `was` is the fill of the sequence a piece was in before, `turn` its place in the group.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        lengths = table.column("length").to_numpy()
+        lengths, was = table.column("length").to_numpy(), table.column("was").to_numpy()
         sequence, offset = np.full(len(lengths), -1, dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+        fill = np.zeros(len(lengths), dtype=np.int64)
         first = (depth << 58) + (int(table.column("grp")[0].as_py()) << 24)
         for number, items in enumerate(pack(lengths, size)):
-            if last or lengths[items].sum() >= POOR * size:
+            fill[items] = lengths[items].sum()
+            if last or fill[items[0]] >= POOR * size or fill[items[0]] <= was[items].max():
                 sequence[items] = first + number
                 offset[items] = np.cumsum(lengths[items]) - lengths[items]
-        added = [pa.array(sequence, mask=sequence < 0), pa.array(offset)]
-        return pa.table([*table.columns, *added], names=[*table.column_names, "sequence_id", "offset"])
+        kept = table.drop_columns(["was", "turn"])
+        added = [pa.array(fill), pa.array(np.arange(len(lengths))), pa.array(sequence, mask=sequence < 0), pa.array(offset)]
+        return pa.table([*kept.columns, *added], names=[*kept.column_names, "was", "turn", "sequence_id", "offset"])
 
     return run
 
@@ -234,27 +240,34 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, si
     """One row per piece of each row of `docs` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents are dealt by hash to groups of about `group_rows`, equal ones too; each group is packed by best fit and
-    local search. Sequences filled less than POOR are taken apart, and 64 groups' leftovers are packed together, until
-    one group is left. Null and empty texts are the end id alone. Rows with the same doc_id are documents of their own;
+    local search. Sequences filled less than POOR are taken apart and dealt anew, to groups of at most about FAN_IN times
+    `group_rows`, as long as their fill rises; when one group is left, or a round has left more than half of its pieces,
+    the next round closes all where they are. Null and empty texts are the end id alone. Rows with the same doc_id are documents of their own;
     null ids stay null. An empty table gives no rows.
     """
     groups = max(1, -(-docs.count() // group_rows))
     slot = F.xxhash64("doc_id", "start", "length", "ids_crc32", F.floor(F.col("nth") / 256))
     level = pieces(docs, path, end_id, size).withColumn("grp", F.pmod(slot, F.lit(groups))).drop("nth")
+    level = level.withColumns({"was": F.lit(0).cast("long"), "turn": F.lit(0).cast("long")})
     schema = T.StructType([*level.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    done, depth = [], 0
+    done, depth, last, before = [], 0, groups == 1, None
     while True:
-        last = groups == 1
         packed = saved(level.groupBy("grp").applyInArrow(_packer(size, depth, last), schema), "packing")
         done.append(packed.where("sequence_id is not null"))
         if last:
             break
-        groups, depth = -(-groups // FAN_IN), depth + 1
-        level = packed.where("sequence_id is null").drop("sequence_id", "offset").withColumn("grp", F.floor(F.col("grp") / FAN_IN))
+        level = packed.where("sequence_id is null").drop("sequence_id", "offset")
+        left, depth = level.count(), depth + 1
+        if not left:
+            break
+        groups = -(-left // (FAN_IN * group_rows))
+        last = groups == 1 or (before is not None and left > before / 2)
+        before = left
+        level = level.withColumn("grp", F.pmod(F.xxhash64(F.lit(depth), "grp", "turn"), F.lit(groups)))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("grp")
+    return out.drop("grp", "was", "turn")
 
 
 def op7(spark: SparkSession, folder: str) -> DataFrame:
