@@ -163,6 +163,15 @@ def test_html_host_path_decides_where_a_page_differs(spark):
     assert got[99] == "the story, short" and got[3] == prose(3, 60)
 
 
+def test_html_reads_all_parts_of_an_article():
+    parts = [prose(k, 40) for k in range(4)]
+    rows = "".join(f'<div class="row"><div class="col"><p>{p}</p></div></div>' for p in parts[:3])
+    text, _ = extract(f"<body><div class='links'><a href='/'>Home</a> <a href='/b'>More</a></div><article><h1>On rows</h1>{rows}</article></body>", [])
+    assert text.split("\n\n") == ["On rows", *parts[:3]]
+    text, _ = extract(f"<body><div><section class='a'><p>{parts[0]}</p><p>{parts[1]}</p></section><section class='b'><p>{parts[2]}</p></section></div></body>", [])
+    assert text.split("\n\n") == parts[:3]
+
+
 def test_forward_backward():
     chance = np.random.default_rng(4)
     lengths = np.array([0, 1, 31, 32, 33, 200, 0])

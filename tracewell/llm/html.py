@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -187,12 +188,18 @@ def _drop(page: Page) -> None:
         page.dropped[n] = (page.dropped[above] and not kept_heading) or drop
 
 
-def block_texts(page: Page, top: int) -> list[str]:
-    """Texts of the blocks below an element, references decoded, white space made one space."""
-    blocks, now = [], []
+def block_texts(page: Page, tops: list[int]) -> list[str]:
+    """Texts of the blocks below elements that do not hold each other, in page order, references decoded, white space made one space."""
+    blocks, now, inside = [], [], [-1] * len(page.tag)
+    for top in tops:
+        inside[top : page.end[top]] = [top] * (page.end[top] - top)
+    last = -1
     for element, text, _ in page.runs:
-        if not top <= element < page.end[top]:
+        if inside[element] < 0:
             continue
+        if inside[element] != last:
+            blocks.append("".join(now))
+            now, last = [], inside[element]
         if text == "\0":
             blocks.append("".join(now))
             now = []
@@ -240,6 +247,40 @@ def best_container(page: Page) -> tuple[int, float]:
     return best, found[best]
 
 
+def winning_area(page: Page, best: int) -> list[int]:
+    """Elements a page is read at: all on the path of `best`, or the lowest container above that is theirs.
+
+    A container above is theirs if it is not the page itself, most of its letters outside links lie in them, and what it
+    has besides is mostly no links; the next one above is tried after it.
+    """
+    text, links = [0] * (len(page.tag) + 1), [0] * (len(page.tag) + 1)
+    for element, run, link in page.runs:
+        if run != "\0" and not page.dropped[element]:
+            (links if link else text)[element] += len(run) - run.count(" ") - run.count("\n")
+    text_upto, links_upto = [0, *accumulate(text)], [0, *accumulate(links)]
+
+    def below(upto: list[int], tops: list[int]) -> int:
+        return sum(upto[page.end[n]] - upto[n] for n in tops)
+
+    area: list[int] = []
+    for n, path in enumerate(page.path):
+        if path == page.path[best] and page.tag[n] in CONTAINERS and not page.dropped[n] and (not area or n >= page.end[area[-1]]):
+            area.append(n)
+    if best not in area:
+        area = [best]
+    above = page.parent[best]
+    while above >= 0 and page.tag[above] not in ("body", "html", "root"):
+        if page.tag[above] in CONTAINERS and not page.dropped[above]:
+            mine = [n for n in area if above < n < page.end[above]]
+            more_text = below(text_upto, [above]) - below(text_upto, mine)
+            more_links = below(links_upto, [above]) - below(links_upto, mine)
+            if more_text > below(text_upto, mine) or more_links > more_text:
+                break
+            area = sorted([n for n in area if n not in mine] + [above])
+        above = page.parent[above]
+    return area
+
+
 def extract(html: str, winning: list[str]) -> tuple[str, str]:
     """(text, path it was taken from)."""
     page = parse(html)
@@ -251,7 +292,7 @@ def extract(html: str, winning: list[str]) -> tuple[str, str]:
             if same:
                 best = max(same, key=lambda n: (found[n], -n))
                 break
-    return "\n\n".join(block_texts(page, best)), page.path[best]
+    return "\n\n".join(block_texts(page, winning_area(page, best))), page.path[best]
 
 
 def host_paths(pages: DataFrame, share: float = WINNING_SHARE) -> DataFrame:
