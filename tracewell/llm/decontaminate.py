@@ -183,8 +183,13 @@ def shared_passages(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: i
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     found, sets = shared_passages(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
     digest = sets.select("item_set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
+    digest = digest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["to"] - s["from"])
-    return found.withColumn("n_hit", hit).join(digest, "item_set", "left").select(
+    # Clean documents have no set; a salt that no set has spreads them over the tasks of the join.
+    salt = F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(SALTS)).cast("int")
+    found = found.withColumn("n_hit", hit).withColumn("salt", F.when(F.col("item_set").isNull(), F.pmod(F.hash("doc_id"), F.lit(1 << 16)) + SALTS).otherwise(salt))
+    found = found.withColumn("item_set", F.coalesce("item_set", F.lit("")))
+    return found.join(digest, ["item_set", "salt"], "left").select(
         "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
