@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators.apply import Bind, apply_equal, apply_within, bind_parameters
-from tracewell.operators.ranges import asof_join, range_join
+from tracewell.operators.ranges import asof_join, overlap_join, range_join
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +58,45 @@ def test_apply_within_keeps_both_bounds(spark):
     bound = bind_parameters(events.where("id = 15"), [Bind("u", "user"), Bind("ts", "at")])
     got = apply_within(bound, events, {"applied_user": "u"}, "applied_at", "ts", 5, 2)
     assert sorted(r["id"] for r in got.collect()) == list(range(10, 18))
+
+
+def spread(seed, rows, prefix):
+    """Ranges of all lengths, points, open and missing ends, ends before starts, repeats, and one hot key."""
+    chance = random.Random(seed)
+    out = []
+    for i in range(rows):
+        start = chance.choice([chance.randint(-3000, 3000) / 2, chance.randint(0, 20) * 16.0])
+        length = chance.choice([0, 1, 16, 17, chance.randint(0, 50), chance.randint(0, 100_000), -3])
+        end = chance.choice([start + length] * 8 + [None, float("inf")])
+        out.append((chance.choice(["hot"] * 4 + ["a", None]), i, chance.choice([start] * 9 + [None, float("-inf")]), end))
+    return [*out, *out[:5]]
+
+
+@pytest.mark.parametrize("width", [1.0, 16.0, 5000.0])
+def test_overlap_join(spark, width):
+    left, right = spread(3, 120, "l"), spread(4, 90, "r")
+    a = spark.createDataFrame(left, "k string, id long, s double, e double").repartition(3)
+    b = spark.createDataFrame(right, "rk string, rid long, rs double, re double").repartition(3)
+    found = overlap_join(a, b, [("k", "rk")], (F.col("s"), F.col("e")), (F.col("rs"), F.col("re")), width)
+    got = sorted((r["id"], r["rid"]) for r in found.collect())
+    whole = lambda rows: [r for r in rows if None not in r and r[2] <= r[3]]
+    want = sorted((i, j) for k, i, s, e in whole(left) for q, j, t, f in whole(right) if k == q and s <= f and t <= e)
+    assert got == want and len(want) > 1000
+    assert found.columns == ["k", "id", "s", "e", "rk", "rid", "rs", "re"]
+    points = b.withColumn("p", F.col("rs"))
+    inside = sorted((r["id"], r["rid"]) for r in range_join(a, points, [("k", "rk")], F.col("s"), F.col("e"), "p", width).collect())
+    assert inside == sorted((i, j) for k, i, s, e in whole(left) for q, j, t, _ in right if k == q and t is not None and s <= t <= e)
+    none = overlap_join(a.limit(0), b, [("k", "rk")], (F.col("s"), F.col("e")), (F.col("rs"), F.col("re")), width)
+    assert none.count() == 0
+
+
+def test_long_ranges_have_few_copies(spark):
+    """A range of a million cells meets a point a cell; neither is copied to every cell."""
+    ranges = spark.range(3).selectExpr("id", "0D AS s", "1e6D * id AS e")
+    points = spark.range(0, 2_000_000, 1000).selectExpr("id AS rid", "CAST(id AS DOUBLE) AS p")
+    out = range_join(ranges, points, [], F.col("s"), F.col("e"), "p", 1.0)
+    assert out.count() == 1 + 1001 + 2000
+    from tracewell.operators.ranges import _NODES
+
+    copies = spark.sql(f"SELECT size({_NODES}) AS n FROM (SELECT -77L AS __first, 999999999L AS __last)").first()["n"]
+    assert copies <= 30 * 8

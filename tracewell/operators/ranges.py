@@ -45,6 +45,50 @@ def asof_join(
     )
 
 
+RADIX_BITS = 4  # a node of one level covers 16 of the level below
+FARTHEST = 1 << 58  # cells beyond are one cell: open ends are allowed
+
+# Cells first..last as the fewest nodes of a 16-way tree over the line: of every level the nodes that no larger one covers.
+_NODES = """
+flatten(transform(sequence(0, greatest(CAST(floor(log2(__last - __first + 1) / {b}) AS INT), 0) + 1), l ->
+  transform(array(named_struct(
+      'lo', shiftright(__first + shiftleft(1L, {b} * l) - 1, {b} * l), 'hi', shiftright(__last + 1, {b} * l),
+      'up', shiftright(__first + shiftleft(1L, {b} * l + {b}) - 1, {b} * l + {b}), 'top', shiftright(__last + 1, {b} * l + {b}))), s ->
+    transform(filter(concat(
+        if(s.lo < if(s.up < s.top, s.up * {r}, s.hi), sequence(s.lo, if(s.up < s.top, s.up * {r}, s.hi) - 1), array()),
+        if(s.up < s.top AND s.top * {r} < s.hi, sequence(s.top * {r}, s.hi - 1), array())), n -> n IS NOT NULL),
+      n -> shiftleft(n, 4) + l))[0]))
+""".format(b=RADIX_BITS, r=1 << RADIX_BITS)
+
+
+def _cell(number: Column, width: float) -> Column:
+    return F.least(F.greatest(F.floor(number / F.lit(width)), F.lit(-FARTHEST)), F.lit(FARTHEST))
+
+
+def _stab(ranges: DataFrame, points: DataFrame, on: Sequence[tuple[str, str]], width: float, beyond_start: bool = False) -> DataFrame:
+    """Pairs with equal keys and `__point` of the one in `__from`..`__to` of the other.
+
+    The line is cut into cells of `width`. A range is held by the nodes of a
+    16-way tree that make up its cells: at most 30 a level, so a number that
+    grows with the logarithm of its length. A point asks for its node on every
+    level that a range can have. It lies in one node of each range around it, so
+    each pair meets once, and all that meets is a pair, but for the end cells.
+    """
+    whole = ranges.where(F.col("__from") <= F.col("__to")).withColumn("__first", _cell(F.col("__from"), width)).withColumn("__last", _cell(F.col("__to"), width))
+    longest = whole.agg(F.max(F.col("__last") - F.col("__first") + 1)).first()[0] or 1
+    levels = (int(longest).bit_length() - 1) // RADIX_BITS
+    held = whole.withColumn("__node", F.explode(F.expr(_NODES))).drop("__first", "__last")
+    node = F.expr(f"shiftleft(shiftright(__cell, {RADIX_BITS} * __level), 4) + __level")
+    asked = points.where(F.col("__point").isNotNull()).withColumn("__cell", _cell(F.col("__point"), width))
+    asked = asked.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("__at", node).drop("__cell", "__level")
+    condition = (F.col("__node") == F.col("__at")) & F.col("__point").between(F.col("__from"), F.col("__to"))
+    if beyond_start:
+        condition = condition & (F.col("__point") > F.col("__from"))
+    for a, b in on:
+        condition = condition & (held[quote(a)] == asked[quote(b)])
+    return held.join(asked, condition).drop("__from", "__to", "__node", "__point", "__at")
+
+
 def range_join(
     left: DataFrame,
     right: DataFrame,
@@ -57,20 +101,36 @@ def range_join(
     """Pairs with equal keys and the right point inside the left range, ends included.
 
     `start` and `end` are numbers in the units of `point` (microseconds for
-    times). The line is cut into spans of `width`: a range is copied to every
-    span it touches, a point has one, so each pair is found once and even one
-    hot key is spread over spans. Choose a width near the usual range length.
+    times); null matches nothing, and an infinite end is open. Choose a `width`
+    near the usual range length; longer ranges cost the logarithm of their
+    length (see _stab), and even one hot key is spread over the line.
     """
-    span = lambda number: F.floor(number / F.lit(width))
-    ranges = (
-        left.withColumn("__from", start)
-        .withColumn("__to", end)
-        .where(F.col("__from") <= F.col("__to"))
-        .withColumn("__span", F.explode(F.sequence(span(F.col("__from")), span(F.col("__to")))))
-    )
-    number = as_number(right, point)
-    points = right.withColumn("__point", number).withColumn("__at", span(number))
-    condition = (F.col("__span") == F.col("__at")) & F.col("__point").between(F.col("__from"), F.col("__to"))
-    for a, b in on:
-        condition = condition & (ranges[quote(a)] == points[quote(b)])
-    return ranges.join(points, condition).drop("__from", "__to", "__span", "__point", "__at")
+    ranges = left.withColumn("__from", start).withColumn("__to", end)
+    return _stab(ranges, right.withColumn("__point", as_number(right, point)), on, width)
+
+
+def overlap_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[tuple[str, str]],
+    left_range: tuple[Column, Column],
+    right_range: tuple[Column, Column],
+    width: float,
+) -> DataFrame:
+    """Pairs with equal keys whose ranges have a point in common, ends included.
+
+    Of two ranges that overlap, either the right one starts within the left one,
+    or the left one starts within the right one and after its start: two joins of
+    ranges and points (see _stab) find each pair once, in work that follows the
+    rows, the logarithm of their lengths and the pairs found. Ranges are numbers
+    as for range_join; one with a null end or that ends before it starts overlaps
+    nothing, infinite ends are open. Column names of both sides must differ.
+    """
+    (a, b), (c, d) = left_range, right_range
+    lefts, rights = left.withColumn("__a", a).withColumn("__b", b), right.withColumn("__c", c).withColumn("__d", d)
+    lefts, rights = lefts.where("__a <= __b"), rights.where("__c <= __d")
+    names = [*cols(left.columns), *cols(right.columns)]
+    begun = _stab(lefts.withColumnsRenamed({"__a": "__from", "__b": "__to"}), rights.withColumn("__point", F.col("__c")), on, width)
+    other = [(y, x) for x, y in on]
+    later = _stab(rights.withColumnsRenamed({"__c": "__from", "__d": "__to"}), lefts.withColumn("__point", F.col("__a")), other, width, True)
+    return begun.select(*names).unionByName(later.select(*names))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.apply import Bind, apply_equal, apply_lateral, apply_within, bind_parameters, unique_output
 from tracewell.operators.ordered import as_number
-from tracewell.operators.ranges import asof_join, range_join
+from tracewell.operators.ranges import asof_join, overlap_join, range_join
 from tracewell.operators.rows import union_tagged
 from tracewell.plans.catalogue import Registry
 from tracewell.plans.catalogue.derived import table
@@ -91,6 +91,23 @@ def join_range(spark, folder):
     return out.select("o_orderkey", "l_orderkey", "l_linenumber")
 
 
+@R.query(
+    "join_overlap",
+    """SELECT o.o_orderkey, l.l_orderkey, l.l_linenumber FROM orders o JOIN lineitem l ON l.l_suppkey = o.o_custkey
+       AND o.o_orderdate <= l.l_shipdate + to_days(CAST(l.l_quantity AS INT))
+       AND l.l_shipdate <= o.o_orderdate + to_days(CAST(o.o_orderkey % 400 AS INT))""",
+)
+def join_overlap(spark, folder):
+    """Orders open for up to 400 days, and the lines of the supplier with the same number that were under way meanwhile."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity")
+    ordered, shipped, day = as_number(orders, "o_orderdate"), as_number(lines, "l_shipdate"), 86_400 * 1e6
+    open_for = (ordered, ordered + F.col("o_orderkey") % 400 * F.lit(day))
+    under_way = (shipped, shipped + F.col("l_quantity").cast("int") * F.lit(day))
+    out = overlap_join(orders, lines, [("o_custkey", "l_suppkey")], open_for, under_way, 30 * day)
+    return out.select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
 @R.query(
     "apply_lateral",
     """SELECT c.c_custkey AS applied_customer, o.o_orderstatus, o.n, o.top FROM customer c, LATERAL (
