@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators.aggregate import aggregate
+from tracewell.operators.frames import Distinct, Frame, Quantile, moving_holistic
 from tracewell.operators.ordered import moving_range, rank_rows, running_totals
 from tracewell.operators.rows import newest
 from tracewell.operators.ranges import asof_join
@@ -148,3 +149,28 @@ def asof_cut(spark, folder):
     errors = events.where("event_type = 'error'").selectExpr("grp", "ts AS at", "event_id AS last_error")
     out = asof_join(others, errors, ["grp"], "ts", "at", ["last_error"], "last_error", CUT_ROWS)
     return out.select("event_id", "last_error")
+
+
+@R.query(
+    "frame_median",
+    """SELECT event_id, round(median(value) OVER near, 6) AS near_median, round(quantile_cont(value, 0.9) OVER day, 6) AS day_high,
+              round(median(value) OVER sofar, 6) AS running_median, count(DISTINCT user_id) OVER near AS near_users
+       FROM events WINDOW near AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 5 FOLLOWING),
+         day AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 HOUR FOLLOWING),
+         sofar AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+)
+def frame_median(spark, folder):
+    """Holistic frames per type: by rows, by time, and from the first row on, from cut groups."""
+    events = table(spark, folder, "events").select("event_id", "event_type", "ts", "user_id", "value")
+    near, hour = Frame(20, 5), 3_600_000_000
+    out = moving_holistic(
+        events, ["event_type"], ["ts", "event_id"],
+        {
+            "near_median": Quantile("value", near),
+            "day_high": Quantile("value", Frame(24 * hour, hour, by_value=True), 0.9),
+            "running_median": Quantile("value", Frame(None, 0)),
+            "near_users": Distinct("user_id", near),
+        },
+    )
+    shown = [F.round(n, 6).alias(n) for n in ("near_median", "day_high", "running_median")]
+    return out.select("event_id", *shown, "near_users")
