@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.columns import col, cols
-from tracewell.operators.ordered import plan_slices
+from tracewell.operators.ordered import carry_last, plan_slices, running_totals
 from tracewell.operators.ranges import asof_join
+from tracewell.operators.rows import first_per_key
 from tracewell.session import cut_lineage
 
 
@@ -136,3 +137,78 @@ def with_rows(found: DataFrame, processes: DataFrame, names: ProcessColumns = Pr
     return found.join(processes, found["row_id"] == processes[f"`{names.tie}`"]).drop("row_id").select(
         *[c for c in found.columns if c != "row_id"], *cols(processes.columns)
     )
+
+
+def forest(processes: DataFrame, names: ProcessColumns = ProcessColumns(), rows_per_task: int | None = None) -> DataFrame:
+    """(row_id, parent_id, at): every process once, with the row of its parent, null for roots.
+
+    The parent is the last process with the parent pid that started before: earlier, or at the same time with a smaller
+    row id, so there are no circles. Rows without a time or a parent pid are roots, and no one's parent without a time or
+    a pid. Of rows with one id the earliest counts; rows without an id are left out.
+    """
+    table = first_per_key(_plain(processes, names).where("row_id IS NOT NULL"), ["row_id"], ["at", "pid", "parent_pid"])
+    marks = table.where("pid IS NOT NULL AND at IS NOT NULL").select("pid", "at", "row_id", F.lit(1).alias("side"), F.col("row_id").alias("mark"))
+    asks = table.select(F.col("parent_pid").alias("pid"), "at", "row_id", F.lit(0).alias("side"), F.lit(None).cast(table.schema["row_id"].dataType).alias("mark"))
+    held = carry_last(asks.unionByName(marks), ["pid"], ["at", "row_id", "side"], {"last": F.col("mark")}, rows_per_task)
+    parent = F.when(F.col("pid").isNotNull() & F.col("at").isNotNull(), F.col("last"))
+    return cut_lineage(held.where("side = 0").select("row_id", parent.alias("parent_id"), "at"))
+
+
+def _to_root(tree: DataFrame, weights: dict[str, str]) -> DataFrame:
+    """(row_id, root_id, and the sums of the weight columns on the way up, the root's left out).
+
+    Path doubling: each round every open row takes over what the row it points at has, so paths double in length, and
+    the rounds are the logarithm of the depth.
+    """
+    root = F.col("parent_id").isNull()
+    sums = [F.when(root, F.lit(0)).otherwise(F.col(w)).cast("long").alias(n) for n, w in weights.items()]
+    state = cut_lineage(tree.select("row_id", F.coalesce("parent_id", "row_id").alias("up"), root.alias("done"), *sums))
+    while not state.where("NOT done").isEmpty():
+        ahead = state.select(F.col("row_id").alias("up"), F.col("up").alias("next"), F.col("done").alias("there"), *[F.col(n).alias(f"more_{n}") for n in weights])
+        moved = state.where("NOT done").join(ahead, "up").select(
+            "row_id", F.col("next").alias("up"), F.col("there").alias("done"), *[(F.col(n) + F.col(f"more_{n}")).alias(n) for n in weights]
+        )
+        state = cut_lineage(state.where("done").unionByName(moved))
+    return state.select("row_id", F.col("up").alias("root_id"), *weights)
+
+
+def roots(processes: DataFrame, names: ProcessColumns = ProcessColumns(), rows_per_task: int | None = None) -> DataFrame:
+    """(row_id, root_id, depth) of every process, at any depth (see forest); a root is its own with depth 0."""
+    return _to_root(forest(processes, names, rows_per_task).withColumn("one", F.lit(1)), {"depth": "one"})
+
+
+def subtree_labels(
+    processes: DataFrame, value: str | None = None, names: ProcessColumns = ProcessColumns(), rows_per_task: int | None = None
+) -> DataFrame:
+    """(row_id, root_id, depth, enter, leave, size, total) of every process (see forest).
+
+    `size` counts a process and all below it, `total` sums `value` over them (nulls left out; null without any value).
+    `enter` is its place from 0 in a walk through its tree, parents first, siblings by time and id; `leave` that of the
+    last one below it. So whatever has the same root and enters from `enter` to `leave` is below it or is it: questions
+    about subtrees are range predicates, without a walk.
+
+    Sizes grow by doubling: what lies less than 2^k below a row, and what lies so below the rows 2^k below it, added up
+    by partial aggregates, so a parent of any number of children is no task of its own. Places are sums of the sizes of
+    earlier siblings, running in slices, along the path to the root. Rounds are the logarithm of the depth.
+    """
+    tree = forest(processes, names, rows_per_task)
+    if value is None:
+        held = tree.withColumn("total", F.lit(None).cast("double"))
+    else:
+        values = processes.select(col(names.tie).alias("row_id"), col(names.time).alias("at"), col(value).cast("double").alias("total"))
+        held = tree.join(first_per_key(values, ["row_id"], ["at", "total"]).drop("at"), "row_id", "left")
+    state = cut_lineage(held.select("row_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("size"), "total"))
+    while not state.where("up IS NOT NULL").isEmpty():
+        below = state.where("up IS NOT NULL").groupBy(F.col("up").alias("row_id")).agg(F.sum("size").alias("more"), F.sum("total").alias("sum"))
+        farther = state.where("up IS NOT NULL").select(F.col("row_id").alias("up"), F.col("up").alias("next"))
+        state = cut_lineage(
+            state.join(below, "row_id", "left").join(farther, "up", "left").select(
+                "row_id", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
+                F.when(F.col("total").isNull(), F.col("sum")).otherwise(F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"),
+            )
+        )
+    sized = tree.join(state.select("row_id", "size"), "row_id")
+    children = running_totals(sized.where("parent_id IS NOT NULL"), ["parent_id"], ["at", "row_id"], {"upto": F.col("size")}, rows_per_task=rows_per_task)
+    step = children.select("row_id", (F.col("upto") - F.col("size") + 1).alias("step"))
+    walked = _to_root(tree.join(step, "row_id", "left").withColumn("one", F.lit(1)), {"depth": "one", "enter": "step"})
+    return walked.join(state.drop("up"), "row_id").select("row_id", "root_id", "depth", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"), "size", "total")

@@ -9,8 +9,10 @@ from tracewell.operators.aggregate import aggregate, aggregate_by_time, lists_to
 from tracewell.operators.buckets import DateHistogram, Terms, bucket_aggregate, flatten_buckets
 from tracewell.operators.dynamic import dynamic_aggregate
 from tracewell.operators.rows import first_per_key, latest_per_key
+from tracewell.operators.sketches import SketchTable, build_sketches, estimates
 from tracewell.plans.catalogue import Registry
 from tracewell.plans.catalogue.derived import ALERTS, alerts, table
+from tracewell.session import new_path
 
 R = Registry()
 
@@ -275,3 +277,33 @@ def sql_approx(spark, folder):
     # Four standard errors.
     close = F.abs(F.col("about") - F.col("parts")) <= 0.08 * F.col("parts") + 1
     return found.select("l_returnflag", "parts", close.alias("parts_near"), within[0].alias("median_near"), within[1].alias("high_near"))
+
+
+@R.query(
+    "agg_sketch",
+    """SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, count(DISTINCT user_id) AS users, true AS same_as_whole,
+              true AS users_near, true AS median_near, true AS high_near
+       FROM events GROUP BY ALL""",
+)
+def agg_sketch(spark, folder):
+    """Days from stored hourly sketches, written in two parts, next to exact values and to the sketch of the whole day."""
+    events = table(spark, folder, "events").select("event_id", "event_type", "user_id", "ts", "value")
+    stored = SketchTable(spark, new_path(spark, "sketches"), ["event_type"], "ts")
+    for part in (0, 1):
+        stored.append(build_sketches(events.where(F.col("event_id") % 2 == part), ["event_type"], "ts", "1h", ["user_id"], ["value"]))
+    days = estimates(stored.read("D"), [0.5, 0.9])
+    whole = estimates(build_sketches(events, ["event_type"], "ts", "D", ["user_id"])).withColumnsRenamed({"about_user_id": "about_whole", "rows": "whole_rows"})
+    numbers = days.join(whole, ["event_type", "ts"]).withColumnRenamed("ts", "day")
+    rows = events.withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz")).drop("ts", "event_id")
+    sides = [F.count_if(test).alias(name) for i in (0, 1) for name, test in (
+        (f"less{i}", F.col("value") < F.col("value_at")[i]), (f"upto{i}", F.col("value") <= F.col("value_at")[i]))]
+    exact = rows.join(numbers, ["event_type", "day"]).groupBy("event_type", "day", "rows", "whole_rows", "about_user_id", "about_whole").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), *sides
+    )
+    near = [(F.col(f"less{i}") <= (p + 0.04) * F.col("n") + 1) & (F.col(f"upto{i}") >= (p - 0.04) * F.col("n") - 1) for i, p in ((0, 0.5), (1, 0.9))]
+    return exact.select(
+        "event_type", "day", "n", "users",
+        ((F.col("about_user_id") == F.col("about_whole")) & (F.col("rows") == F.col("whole_rows")) & (F.col("rows") == F.col("n"))).alias("same_as_whole"),
+        (F.abs(F.col("about_user_id") - F.col("users")) <= 0.08 * F.col("users") + 1).alias("users_near"),
+        near[0].alias("median_near"), near[1].alias("high_near"),
+    )

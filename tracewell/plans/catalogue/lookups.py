@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators.hierarchy import ProcessColumns, ancestors, descendants, siblings
+from tracewell.operators.hierarchy import ProcessColumns, ancestors, descendants, roots, siblings, subtree_labels
 from tracewell.operators.lookup import enrich_assets, in_networks, longest_prefix, resolve_names
 from tracewell.plans.catalogue import Registry
 from tracewell.plans.catalogue.derived import (
@@ -137,3 +137,45 @@ def hier_children(spark, folder):
 )
 def hier_siblings(spark, folder):
     return siblings(processes(spark, folder), seeds(spark, folder), NAMES)
+
+
+# Chains of up to some hundred processes: each has the one before it as parent, if that is on the same host and was there in time.
+CHAINED = "chained AS (SELECT event_id AS id, event_id - 1 - event_id % 3 AS parent, ts, value FROM events)"
+LINKS = """links AS (SELECT c.id, c.ts, c.value, p.id AS parent FROM chained c LEFT JOIN chained p
+  ON p.id = c.parent AND (p.ts < c.ts OR (p.ts = c.ts AND p.id < c.id)) AND c.id % 200 > 0)"""
+
+
+def chained(spark, folder):
+    parent = F.when(F.col("event_id") % 200 > 0, F.col("event_id") - 1 - F.col("event_id") % 3)
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("_id"), F.col("event_id").alias("process.pid"), parent.alias("process.parent.pid"), F.col("ts").alias("@timestamp"), "value"
+    )
+
+
+@R.query(
+    "hier_roots",
+    f"""WITH RECURSIVE {CHAINED}, {LINKS},
+    down AS (SELECT id, id AS root, 0 AS depth FROM links WHERE parent IS NULL
+             UNION ALL SELECT l.id, d.root, d.depth + 1 FROM down d JOIN links l ON l.parent = d.id)
+    SELECT id AS row_id, root AS root_id, CAST(depth AS BIGINT) AS depth FROM down""",
+)
+def hier_roots(spark, folder):
+    """Root and depth of every process, however deep it lies."""
+    return roots(chained(spark, folder), NAMES)
+
+
+@R.query(
+    "hier_subtree_stats",
+    f"""WITH RECURSIVE {CHAINED}, {LINKS},
+    down AS (SELECT id, id AS root, [(ts, id)] AS path FROM links WHERE parent IS NULL
+             UNION ALL SELECT l.id, d.root, list_append(d.path, (l.ts, l.id)) FROM down d JOIN links l ON l.parent = d.id),
+    placed AS (SELECT id, root, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS enter FROM down),
+    up AS (SELECT id, value, id AS above, parent FROM links
+           UNION ALL SELECT u.id, u.value, l.id, l.parent FROM up u JOIN links l ON l.id = u.parent),
+    sums AS (SELECT above AS id, count(*) AS size, round(sum(value), 2) AS total FROM up GROUP BY 1)
+    SELECT id AS row_id, root AS root_id, enter, enter + size - 1 AS leave, size, total FROM placed JOIN sums USING (id)""",
+)
+def hier_subtree_stats(spark, folder):
+    """Place, size and summed value of the subtree of every process."""
+    found = subtree_labels(chained(spark, folder), "value", NAMES)
+    return found.select("row_id", "root_id", "enter", "leave", "size", F.round("total", 2).alias("total"))

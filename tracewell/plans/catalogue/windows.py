@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tracewell.operators.aggregate import aggregate
 from tracewell.operators.frames import Distinct, Frame, Quantile, moving_holistic
 from tracewell.operators.ordered import moving_range, rank_rows, running_totals
-from tracewell.operators.rows import newest
+from tracewell.operators.paging import deep_page
 from tracewell.operators.ranges import asof_join
+from tracewell.operators.rows import newest
+from tracewell.operators.sampling import sample_rows, sample_strata
 from tracewell.operators.shift import shift
 from tracewell.plans.catalogue import Registry
 from tracewell.plans.catalogue.derived import ALERTS, alerts, table
@@ -87,6 +89,45 @@ def topk(spark, folder):
     return newest(orders, ["o_orderdate", "o_orderkey"], 50, 10)
 
 
+@R.query(
+    "page_deep",
+    """SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem
+       ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC LIMIT 500 OFFSET 40000""",
+)
+def page_deep(spark, folder):
+    """A page from the depth of the list; small parts, so that it is searched at any size of the table."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    return deep_page(lines, ["l_shipdate", "l_orderkey", "l_linenumber"], 500, 40_000, few=2_000)
+
+
+@R.query(
+    "sample_rows",
+    """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+       ORDER BY md5(concat_ws('|', '11', l_orderkey, l_linenumber)) LIMIT 2500""",
+)
+def sample_of_rows(spark, folder):
+    """Exactly 2,500 random lines."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return sample_rows(lines, 2_500, ["l_orderkey", "l_linenumber"], 11)
+
+
+@R.query(
+    "sample_strata",
+    """WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice, md5(concat_ws('|', '5', o_orderkey)) AS h FROM orders)
+       SELECT 'share' AS kind, o_orderkey, o_orderstatus, o_orderpriority, o_totalprice FROM o
+       QUALIFY row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY h) <= ceil(0.05 * count(*) OVER (PARTITION BY o_orderstatus, o_orderpriority))
+       UNION ALL SELECT 'rows', o_orderkey, o_orderstatus, o_orderpriority, o_totalprice FROM o
+       QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY h) <= 300""",
+)
+def sample_of_strata(spark, folder):
+    """A twentieth of each status and priority, and 300 orders of each status."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    share = sample_strata(orders, ["o_orderstatus", "o_orderpriority"], 0.05, ["o_orderkey"], 5)
+    rows = sample_strata(orders, ["o_orderstatus"], 300, ["o_orderkey"], 5)
+    names = ["kind", *orders.columns]
+    return share.withColumn("kind", F.lit("share")).select(names).unionByName(rows.withColumn("kind", F.lit("rows")).select(names))
+
+
 # The same operators with a limit so small that groups are cut into slices at any size of the tables.
 CUT_ROWS = 400
 
