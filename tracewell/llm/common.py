@@ -55,5 +55,14 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write a table bucketed and sorted by a key, as an aggregation by it leaves the rows: later joins by the key do not move it."""
+    spark = df.sparkSession
+    name = f"tracewell_{label.replace('-', '_')}_{uuid4().hex}"
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("compression", "zstd")
+    writer.option("path", new_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def text_key(text: Column) -> Column:
     return content_key(F.coalesce(text, F.lit("")))
