@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracewell.streaming.events import bucket_stream, latest_buckets, read_events, run_alert, run_updates
+from tracewell.streaming.events import alert_once, bucket_stream, latest_buckets, read_events, run_alert, run_append, run_updates
 
 
 def write(spark, folder, name, first, last):
@@ -42,3 +42,25 @@ def test_alert_counts_only_new_rows(spark, folder):
     write(spark, folder, "in", 10, 11)
     assert run() == [(1, True), (3, True)]
     assert run() == [(1, True), (3, True)]
+
+
+def test_alert_once_over_restarts(spark, folder):
+    def write_rows(rows):
+        times = spark.createDataFrame(rows, "kind string, minute int, alert_at int")
+        times.selectExpr("kind", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, minute) AS ts", "alert_at").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    def run():
+        stream = read_events(spark, f"{folder}/in", "*.parquet", "kind STRING, ts TIMESTAMP_NTZ, alert_at INT")
+        run_append(alert_once(stream, ["kind"], "ts", 3600, "10 minutes"), f"{folder}/out", f"{folder}/state")
+        found = spark.read.parquet(f"{folder}/out").selectExpr("kind", "CAST(unix_timestamp(alert_at) - unix_timestamp(TIMESTAMP'2024-01-01 00:00:00') AS INT) DIV 60 AS minute")
+        return sorted(((r.kind or "", r.minute) for r in found.collect()))
+
+    write_rows([("a", 30, None), ("a", 0, None), ("a", 0, None), ("a", 90, None), ("a", 151, None), ("b", 5, None), (None, 7, None), (None, 8, None), ("c", None, None)])
+    first = [("", 7), ("a", 0), ("a", 151), ("b", 5)]
+    assert run() == first  # 90 is an hour after 30: still the same alert
+    write_rows([("a", 200, None), ("b", 215, None), ("b", 275, None)])  # 49 and 60 minutes are not quiet enough
+    assert run() == sorted([*first, ("b", 215)])
+    assert run() == sorted([*first, ("b", 215)])
+    write_rows([("a", 500, None), ("a", 200, None), ("b", 335, None)])  # late rows never alert
+    assert run() == sorted([*first, ("b", 215), ("a", 500)])
+

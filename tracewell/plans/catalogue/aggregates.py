@@ -8,6 +8,7 @@ from tracewell.columns import rename_all
 from tracewell.operators.aggregate import aggregate, aggregate_by_time, lists_to_text, result_counts
 from tracewell.operators.buckets import DateHistogram, Terms, bucket_aggregate, flatten_buckets
 from tracewell.operators.dynamic import dynamic_aggregate
+from tracewell.operators.lattice import cube_sets, grouping_lattice
 from tracewell.operators.rows import first_per_key, latest_per_key
 from tracewell.operators.sketches import SketchTable, build_sketches, estimates
 from tracewell.plans.catalogue import Registry
@@ -307,3 +308,19 @@ def agg_sketch(spark, folder):
         (F.abs(F.col("about_user_id") - F.col("users")) <= 0.08 * F.col("users") + 1).alias("users_near"),
         near[0].alias("median_near"), near[1].alias("high_near"),
     )
+
+
+@R.query(
+    "cube_lattice",
+    """SELECT l_returnflag, l_linestatus, year(l_shipdate) AS year, CAST(grouping(l_returnflag, l_linestatus, year(l_shipdate)) AS BIGINT) AS grouping_id,
+              count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity, min(l_extendedprice) AS low, max(l_extendedprice) AS high,
+              CAST(CAST(avg(l_discount) AS FLOAT) AS DOUBLE) AS discount
+       FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus, year(l_shipdate))""",
+)
+def cube_lattice(spark, folder):
+    """A cube whose rows are aggregated once."""
+    lines = table(spark, folder, "lineitem").withColumn("year", F.year("l_shipdate").cast("long"))
+    keys = ["l_returnflag", "l_linestatus", "year"]
+    wanted = {"n": ("size", "l_quantity"), "quantity": ("sum", "l_quantity"), "low": ("min", "l_extendedprice"), "high": ("max", "l_extendedprice"), "discount": ("mean", "l_discount")}
+    out = grouping_lattice(lines, keys, cube_sets(keys), wanted)
+    return out.withColumn("quantity", F.col("quantity").cast("long")).withColumn("discount", stable("discount"))

@@ -8,9 +8,9 @@ from tracewell.operators.aggregate import aggregate_by_time
 from tracewell.operators.apply import Bind, apply_within, bind_parameters
 from tracewell.plans.catalogue import Registry
 from tracewell.plans.catalogue.derived import ADDRESSES, addresses, table
-from tracewell.plans.steps import Step, nested_chain, run_chain, sql_step
+from tracewell.plans.steps import Step, nested_chain, run_chain, run_chain_reused, sql_step
 from tracewell.session import new_path
-from tracewell.streaming.events import bucket_stream, latest_buckets, read_events, run_alert, run_updates
+from tracewell.streaming.events import alert_once, bucket_stream, latest_buckets, read_events, run_alert, run_append, run_updates
 
 R = Registry()
 
@@ -122,3 +122,41 @@ def stream_bucket(spark, folder):
     run_updates(bucket_stream(stream, "ts", "1 hour", ["event_type"], "2 hours", sums), path, new_path(spark, "bucket-state"))
     out = latest_buckets(spark, path, ["bucket", "event_type"])
     return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@R.query(
+    "stream_alert_once",
+    """SELECT user_id, ts AS alert_at FROM events WHERE event_type = 'error'
+       QUALIFY coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR, true)""",
+)
+def stream_alert_once(spark, folder):
+    """One alert when a user's errors begin, and again after six hours without any."""
+    schema = table(spark, folder, "events").schema
+    stream = read_events(spark, folder, "events.parquet", schema).where("event_type = 'error'")
+    path = new_path(spark, "alerts")
+    run_append(alert_once(stream, ["user_id"], "ts", 6 * 3600, "1 hour"), path, new_path(spark, "alerts-state"))
+    return spark.read.parquet(path).select("user_id", F.col("alert_at").cast("timestamp_ntz").alias("alert_at"))
+
+
+@R.query(
+    "chain_reuse",
+    """WITH hours AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE value > 10 GROUP BY ALL),
+       top AS (SELECT event_type, max(n) AS most FROM hours GROUP BY ALL), days AS (SELECT event_type, date_trunc('day', hour) AS day, sum(n) AS n FROM hours GROUP BY ALL)
+       SELECT days.event_type, day, CAST(days.n AS BIGINT) AS n, most FROM days JOIN top ON days.event_type = top.event_type""",
+)
+def chain_reuse(spark, folder):
+    """Hourly counts that two later steps read are worked out once; a second chain scans them."""
+    store = new_path(spark, "steps")
+
+    def hours(results):
+        counted = results["events"].where("value > 10").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
+        return counted.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+    steps = [
+        Step("hours", hours),
+        Step("top", lambda r: r["hours"].groupBy("event_type").agg(F.max("n").alias("most"))),
+        Step("days", lambda r: r["hours"].groupBy("event_type", F.date_trunc("day", "hour").cast("timestamp_ntz").alias("day")).agg(F.sum("n").alias("n"))),
+        Step("report", lambda r: r["days"].join(r["top"], "event_type").select("event_type", "day", "n", "most")),
+    ]
+    run_chain_reused(steps, store, {"events": table(spark, folder, "events")})
+    return run_chain_reused(steps, store, {"events": table(spark, folder, "events")})["report"]

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from hashlib import sha256
+from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewell.functions.register import pattern_first, register_functions
 from tracewell.operators.reshape import normalize_columns
@@ -78,6 +82,68 @@ def run_chain(steps: Sequence[Step], inputs: Mapping[str, DataFrame] | None = No
     return results
 
 
+class _Reads(dict):
+    """Results that note which of them a step looks up."""
+
+    def __init__(self, results: Mapping[str, DataFrame]) -> None:
+        super().__init__(results)
+        self.names: set[str] = set()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        self.names.add(name)
+        return super().__getitem__(name)
+
+    def get(self, name: str, default=None):
+        return self[name] if name in self else default
+
+
+def plan_key(df: DataFrame) -> str:
+    """Equal for results that are worked out alike from the same files: a key of the plan, its columns and its files."""
+    parts = [str(df.semanticHash()), df.schema.json(), *sorted(df.inputFiles())]
+    return sha256("\n".join(parts).encode()).hexdigest()[:32]
+
+
+def run_chain_reused(steps: Sequence[Step], store: str, inputs: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """run_chain, in which a step that several later steps read is worked out once, and never again while its plan is the same.
+
+    Which steps are read more than once is found by building the chain; each is written below `store`, a folder all
+    executors reach, under the key of its plan (plan_key), and its readers scan what is written. A later chain whose step
+    has the same key scans it too. New input files, other parameters or other code make another key, and so a new
+    result; files that change under the same name are not seen: take another store after such a change. Half of a
+    result is never read: what was not written to its end is written again, in another folder.
+    """
+    reads: dict[str, int] = {}
+    results: dict[str, DataFrame] = dict(inputs or {})
+    for step in steps:
+        if step.name in results:
+            raise ValueError(f"there is already a result named {step.name}")
+        seen = _Reads(results)
+        results[step.name] = step.build(seen)
+        for name in seen.names:
+            reads[name] = reads.get(name, 0) + 1
+    results = dict(inputs or {})
+    for step in steps:
+        df = step.build(results)
+        results[step.name] = _stored(df, store, plan_key(df)) if reads.get(step.name, 0) > 1 else df
+    return results
+
+
+def _stored(df: DataFrame, store: str, key: str) -> DataFrame:
+    """What is written under the key; written first if nothing is. Each writer has a folder, which it names when it is whole."""
+    spark, named = df.sparkSession, f"{store.rstrip('/')}/done-{key}"
+    try:
+        path = spark.read.schema("path STRING").parquet(named).agg(F.min("path")).first()[0]
+    except AnalysisException as error:  # not written yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        path = None
+    if path is None:
+        path = f"{store.rstrip('/')}/data-{key}-{uuid4().hex}"
+        df.write.parquet(path)
+        spark.range(1).select(F.lit(path).alias("path")).write.mode("append").parquet(named)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shown(steps: Sequence[Step], results: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return {s.name: results[s.name] for s in steps if s.show}
 
