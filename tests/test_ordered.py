@@ -44,6 +44,20 @@ def test_shift(table, rows, limit, periods):
         assert got[i] == value or (got[i] is None and value != value), i
 
 
+@pytest.mark.parametrize("periods", [3, 40, -25])
+def test_long_shift_of_cut_groups_is_a_join(table, rows, periods, monkeypatch):
+    monkeypatch.setattr("tracewell.operators.shift.MANY_ROWS", 2)
+    out = shift(table, ["k"], "v", "s", periods, ["t", "id"], -9.0, rows_per_task=20)
+    assert out.columns == ["k", "id", "v", "t", "s"]
+    got = {r["id"]: r["s"] for r in out.collect()}
+    ordered = rows.sort_values(["t", "id"])
+    want = dict(zip(ordered["id"], ordered.groupby("k")["v"].shift(periods, fill_value=-9.0)))
+    assert len(got) == len(rows)
+    for i, value in want.items():
+        no_group = rows.loc[rows["id"] == i, "k"].isna().any()
+        assert got[i] == (-9.0 if no_group else value) or (got[i] is None and value != value), i
+
+
 @pytest.mark.parametrize("limit", [10_000, 30])
 @pytest.mark.parametrize("periods", [2, -3])
 def test_shift_whole_table(table, rows, limit, periods):

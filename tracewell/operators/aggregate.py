@@ -204,8 +204,11 @@ def fill_buckets(df: DataFrame, bucket: str, frequency: str, spec: Spec) -> Data
         label = F.last_day(F.col("at").cast("date")) if month_end else F.col("at")
         every = steps.select(label.cast("timestamp_ntz").alias(bucket))
     else:
-        step = f"make_dt_interval(0, 0, 0, {fixed_seconds(frequency)})"
-        every = bounds.select(F.expr(f"explode(sequence(lo, hi, {step})) AS {name}"))
+        # Numbered by all tasks together: ten years of seconds are no list in one row.
+        seconds = fixed_seconds(frequency)
+        low, last = bounds.select(F.col("lo").cast("string"), F.expr(f"timestampdiff(SECOND, lo, hi) div {seconds}")).first()
+        begin = F.lit(low).cast("timestamp_ntz").alias("lo")
+        every = df.sparkSession.range(0 if low is None else last + 1).select("id", begin).select(F.expr(f"lo + make_dt_interval(0, 0, 0, id * {seconds}) AS {name}"))
     joined = attach(every, df, [bucket])
     zero = {out for _, fn, out in expand_spec(spec) if fn in ("count", "sum", "size", "nunique")}
     return joined.select(

@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.columns import col, cols, dtype, fill_missing
+from tracewell.columns import attach, col, cols, dtype, fill_missing
 from tracewell.operators.aggregate import lists_to_text
-from tracewell.operators.ordered import HALO, SLICE, ordering, plan_slices, with_look_back
+from tracewell.operators.ordered import HALO, SLICE, ordering, plan_slices, running, with_look_back
+from tracewell.session import cut_lineage
+
+# Cut groups carry the rows of a shift over slice borders up to this length; longer shifts are a join of row numbers.
+MANY_ROWS = 1_000
 
 
 def shift(
@@ -47,6 +51,12 @@ def shift(
     slices = plan_slices(df, groupby, order_by[0], rows_per_task)
     keys = list(groupby)
     source = df
+    if slices.split and rows > MANY_ROWS:
+        numbered = cut_lineage(running(df, keys, order_by, {"__place": ("count", F.lit(1))}, slices=slices))
+        moved = numbered.select(*cols(keys), (F.col("__place") + periods).alias("__place"), F.struct(value.alias("v")).alias("__earlier"))
+        shifted = attach(numbered, moved, [*keys, "__place"])
+        shifted = shifted.withColumn(result, F.when(F.col("__earlier").isNull(), filler).otherwise(F.col("__earlier")["v"])).drop("__place", "__earlier")
+        return _finished(shifted, groupby, result, filler, fill)
     if slices.split:
         source = with_look_back(df, keys, order_by, rows, slices, descending=later)
         keys = [*keys, SLICE]
@@ -56,6 +66,10 @@ def shift(
     shifted = source.withColumn(result, F.when(earlier.isNull(), filler).otherwise(earlier["v"]))
     if slices.split:
         shifted = shifted.where(~F.col(HALO)).drop(SLICE, HALO)
+    return _finished(shifted, groupby, result, filler, fill)
+
+
+def _finished(shifted: DataFrame, groupby: Sequence[str], result: str, filler: Column, fill: str | None) -> DataFrame:
     if groupby:
         no_group = reduce(lambda a, b: a | b, [col(k).isNull() for k in groupby])
         shifted = shifted.withColumn(result, F.when(no_group, filler).otherwise(col(result)))
