@@ -11,7 +11,7 @@ import pytest
 
 from tracewell.llm.common import saved
 from tracewell.llm.html import extract, extract_pages
-from tracewell.llm.language import fit, label_rows, marginal_sums, training_windows
+from tracewell.llm.language import certain_sums, fit, label_rows, marginal_sums, training_windows
 from tracewell.llm.lines import _bands, line_groups, without_repeated_lines
 from tracewell.llm.lm import backoff_scores
 from tracewell.llm.mixing import mix_sources, mixed_documents
@@ -112,6 +112,33 @@ def test_mixing_comes_near_targets_with_a_hot_source(spark):
         assert abs(r["sum(taken)"] - r.target) <= 200, r
 
 
+def test_mixing_meets_targets_where_one_document_is_half_its_source(spark):
+    rows = [(i, " ".join(["w"] * (5 + i * 13 % 60)), "abc"[i % 3]) for i in range(900)]
+    rows += [(1000, " ".join(["w"] * 10_000), "a"), (None, "w " * 4000, "b"), (None, None, None), (1001, "w " * 300, None), (1001, "w " * 300, None)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.size == 0 or abs(r.copies - r.target / r.source_size) < 1 + 1e-9
+    # The source of two equal rows can only take multiples of their size.
+    assert all(abs(taken[s] - t) <= (150 if s is None else 0.005 * t) for s, t in target.items()), (taken, target)
+    again = mix_sources(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted(got, key=str) == sorted(again, key=str)
+
+
+def test_mixing_meets_targets_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in mix_sources(docs).groupBy("source", "target").sum("taken").collect():
+        assert abs(r["sum(taken)"] - r.target) <= 0.005 * r.target, r
+
+
+def test_equal_keys_with_different_texts_are_mixed_alike_in_every_run(spark):
+    rows = [(1, f"w{i} x", "a") for i in range(9)] + [(2, "y " * 40, "b"), (3, "z " * 7, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert Counter(mixed_documents(docs).collect()) == Counter(mixed_documents(docs.repartition(4, "text")).collect())
+
+
 def test_search(docs, empty):
     texts = [(r[0], split_words(r[1])) for r in awkward()]
     df, number = Counter(w for _, ws in texts for w in set(ws)), len(texts)
@@ -178,7 +205,7 @@ def test_forward_backward():
     emission, transitions = chance.random((lengths.sum(), 3)) + 1e-3, chance.normal(size=(3, 3))
     got, at = marginal_sums(emission, lengths, transitions), 0
     for row, n in enumerate(lengths):
-        forward, now, backward, total = [], np.ones(3), np.ones(3), np.zeros(3)
+        forward, now, backward, total, highest = [], np.ones(3), np.ones(3), np.zeros(3), 0.0
         for e in emission[at : at + n]:
             now = now @ np.exp(transitions) * e
             now = now / now.sum()
@@ -186,9 +213,10 @@ def test_forward_backward():
         for i in range(n - 1, -1, -1):
             both = forward[i] * backward
             total += both / both.sum()
+            highest += (both / both.sum()).max()
             backward = np.exp(transitions) @ (emission[at + i] * backward)
             backward = backward / backward.sum()
-        assert np.allclose(got[row], total)
+        assert np.allclose(got[row], total) and np.isclose(certain_sums(emission, lengths, transitions)[1][row], highest)
         at += n
 
 
@@ -203,6 +231,9 @@ def test_language(spark, docs, empty):
     assert all((got[k].lang_pred, got[k].score) == ("und", 0.0) for k in (2, 3, 4))
     assert got[5].lang_pred in model.languages and got[None].lang_pred in model.languages
     assert label_rows(empty, model).count() == 0 and label_rows(docs, model).count() == len(awkward())
+    sure = {r.doc_id: r for r in label_rows(spark.createDataFrame(mixed, "doc_id long, text string"), model, certainty_name="sure").collect()}
+    assert all((r.lang_pred, r.score) == tuple(got[d])[-2:] and r.score <= r.sure <= 1 for d, r in sure.items())
+    assert sure[1].sure > 0.9 and sure[2].sure == sure[3].sure == 0
     none = fit(training_windows(empty))
     assert {r.lang_pred for r in label_rows(docs, none).collect()} == {"und"}
 

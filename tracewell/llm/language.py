@@ -105,7 +105,12 @@ def _scaled(x: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
 
 
 def marginal_sums(emission: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Forward-backward over sequences that lie one after the other: sum of each sequence's word marginals.
+    """Forward-backward over sequences that lie one after the other: sum of each sequence's word marginals."""
+    return certain_sums(emission, lengths, transitions)[0]
+
+
+def certain_sums(emission: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`marginal_sums`, and for each sequence the sum of its words' highest marginals.
 
     Spans of SPAN words are handled side by side: the product of a span's step matrices takes the forward and backward
     vectors across it, so long texts need no long loop. A sequence starts from equal forward values.
@@ -116,7 +121,7 @@ def marginal_sums(emission: np.ndarray, lengths: np.ndarray, transitions: np.nda
     total = int(spans.sum())
     sums = np.zeros((len(lengths), states))
     if not total:
-        return sums
+        return sums, np.zeros(len(lengths))
     owner = np.repeat(np.arange(len(lengths)), spans)
     number = np.arange(total) - np.repeat(np.cumsum(spans) - spans, spans)
     start = np.repeat(np.cumsum(lengths) - lengths, spans) + number * SPAN
@@ -146,14 +151,16 @@ def marginal_sums(emission: np.ndarray, lengths: np.ndarray, transitions: np.nda
     for t in range(SPAN):
         now = np.where(inside[:, t, None], _scaled((now @ move) * steps[:, t], (1,)), now)
         forward[t] = now
-    now, gathered = behind, np.zeros((total, states))
+    now, gathered, highest = behind, np.zeros((total, states)), np.zeros(total)
     for t in range(SPAN - 1, -1, -1):
         both = forward[t] * now
-        gathered += np.where(inside[:, t, None], both / np.maximum(both.sum(axis=1, keepdims=True), 1e-300), 0.0)
+        marginal = np.where(inside[:, t, None], both / np.maximum(both.sum(axis=1, keepdims=True), 1e-300), 0.0)
+        gathered += marginal
+        highest += marginal.max(axis=1)
         now = np.where(inside[:, t, None], _scaled((steps[:, t] * now) @ move.T, (1,)), now)
     for k in range(states):
         sums[:, k] = np.bincount(owner, weights=gathered[:, k], minlength=len(lengths))
-    return sums
+    return sums, np.bincount(owner, weights=highest, minlength=len(lengths))
 
 
 def fit(windows: Sequence[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: int = 11) -> Model:
@@ -248,12 +255,15 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW
     return [(part, lang) for lang in sorted(found) for _, part in sorted(found[lang])[:sample]]
 
 
-def label_rows(docs: DataFrame, model: Model, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+def label_rows(docs: DataFrame, model: Model, lang_name: str = "lang_pred", score_name: str = "score", certainty_name: str | None = None) -> DataFrame:
     """`docs` with two more columns: the language with the largest mean word marginal, and that mean (0 to 1).
 
-    Only the column `text` is looked at. Null text, text without a letter, or a model without languages: `und` and 0.
+    With `certainty_name` a third one: the mean of each word's highest marginal, so a text whose words are each labelled
+    with certainty has nearly 1, in however many languages it is. Only the column `text` is looked at. Null text, text
+    without a letter, or a model without languages: `und` and 0.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
+    numbers = [score_name, *([certainty_name] if certainty_name else [])]
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), *[T.StructField(n, T.DoubleType()) for n in numbers]])
     names = np.array([*model.languages, UNKNOWN], dtype=object)
 
     def chunks(texts: pa.Array) -> Iterator[list[list[str]]]:
@@ -267,8 +277,8 @@ def label_rows(docs: DataFrame, model: Model, lang_name: str = "lang_pred", scor
                 held, size = [], 0
         yield held
 
-    def label(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        best, score = [], []
+    def label(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        best, score, certainty = [], [], []
         for held in chunks(texts):
             flat = [w for words in held for w in words]
             lengths = np.array([len(w) for w in held], dtype=np.int64)
@@ -279,19 +289,20 @@ def label_rows(docs: DataFrame, model: Model, lang_name: str = "lang_pred", scor
                 lengths = np.bincount(np.repeat(np.arange(len(held)), lengths)[stay], minlength=len(held))
                 codes = codes[stay]
             if model.languages and len(codes):
-                sums = marginal_sums(emissions(model, list(unique))[codes], lengths, model.transitions)
+                sums, highest = certain_sums(emissions(model, list(unique))[codes], lengths, model.transitions)
             else:
                 sums, lengths = np.zeros((len(held), max(1, len(model.languages)))), np.zeros(len(held), dtype=np.int64)
+                highest = np.zeros(len(held))
             best.append(np.where(lengths > 0, sums.argmax(axis=1), len(model.languages)))
             score.append(np.where(lengths > 0, np.minimum(sums.max(axis=1) / np.maximum(lengths, 1), 1.0), 0.0))
-        return np.concatenate(best).astype(np.int64), np.concatenate(score)
+            certainty.append(np.where(lengths > 0, np.minimum(highest / np.maximum(lengths, 1), 1.0), 0.0))
+        return np.concatenate(best).astype(np.int64), np.concatenate(score), np.concatenate(certainty)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score = label(batch.column(batch.schema.names.index("text")))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names, lang_name, score_name]
-            )
+            best, *means = label(batch.column(batch.schema.names.index("text")))
+            found = [pa.array(names[best], pa.string()), *[pa.array(m) for m in means[: len(numbers)]]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, lang_name, *numbers])
 
     return docs.mapInArrow(run, schema)
 

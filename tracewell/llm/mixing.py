@@ -15,6 +15,9 @@ from tracewell.llm.common import WORD, load, saved, uniform
 FAN_IN = 64  # units whose masses are paired in one row of the tree
 BLOCK = 10_000  # equal rows written out by one row
 EDGE = 1e-9
+FEW = 64  # units of a size that a rest must hold before units of that size are turned by chance
+VARIETY = 32  # units kept of each doubling of size, by size modulo this number
+TRIES = 64  # ways in which a rest is handed to single units
 
 
 def word_count(text: Column) -> Column:
@@ -81,8 +84,9 @@ def pivotal_rounding(units: DataFrame, seed: int = 7) -> DataFrame:
     random direction so that the sum of size * p stays and each p keeps its mean, and the one that reaches 0 or 1 is
     settled. Leaves of the tree hold about 64 units by hash; each passes at most one open unit on, and 64 nodes make the
     next one, until one unit is left in the stratum, which is rounded at random. A stratum thus misses its sum of
-    size * p by less than one unit's size (large units meet first, so it is a small one's), and no node holds more than its
-    fan-in, however large the stratum. Chance follows from the units and `seed`. Strata may be null. A table is written for each level, a sixty-fourth of the last.
+    size * p by less than one unit's size, and no node holds more than its fan-in, however large the stratum. The heavier of
+    two units mostly stays open, so the last one may be the heaviest of all: `near_targets` hands on what it leaves.
+    Chance follows from the units and `seed`. Strata may be null. A table is written for each level, a sixty-fourth of the last.
     """
     counts = units.groupBy("stratum").agg(F.ceil(F.count("*") / FAN_IN).alias("leaves")).withColumnRenamed("stratum", "of")
     width = counts.agg(F.max("leaves")).first()[0] or 0
@@ -107,6 +111,80 @@ def pivotal_rounding(units: DataFrame, seed: int = 7) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def rests(plan: DataFrame) -> DataFrame:
+    """(of, rest): words a source still misses (below 0: has too many). Sizes add up as longs, so reruns agree."""
+    taken = plan.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("total") * F.col("size")).alias("taken"))
+    return taken.select(F.col("source").alias("of"), (F.col("target") - F.col("taken")).alias("rest"))
+
+
+def near_targets(plan: DataFrame, seed: int) -> DataFrame:
+    """Hand each source's signed rest to settled units: `plan` has source, doc_id, size, target, whole, total and open.
+
+    Units with `open` may hold `whole` or `whole` + 1 copies, and are turned from one to the other. Where the units up to a
+    rest's size cannot make it up, the lightest heavier one is turned first if the others can make up for that. While a rest holds `FEW`
+    units of some size or more, units up to that size are turned by chance, as many as make up the rest on average; what
+    is left is about an eighth. Then single units take it, the largest that brings the sum nearer first: a source
+    offers up to `VARIETY` units of each doubling of size in each direction, different in size where it has such, and of
+    `TRIES` ways, each but the first with another unit turned beforehand and some left out, the nearest counts. Turning does not keep the mean
+    of these units, which are few next to the others. No step holds more of a source than that offer.
+    """
+    up, size, rest = F.col("total") > F.col("whole"), F.col("size"), F.col("rest")
+    turned = F.col("whole") + (~up).cast("long")
+    same = F.col("source").eqNullSafe(F.col("of"))
+    unit = same & F.col("doc_id").eqNullSafe(F.col("of_id")) & (size == F.col("of_size"))
+
+    def turn_units(steps: DataFrame) -> DataFrame:
+        """Turn the units (of, of_id, of_size)."""
+        marked = plan.join(saved(steps.withColumn("turn", F.lit(True)), "mixing"), unit, "left")
+        return marked.withColumn("total", F.when(F.col("turn"), turned).otherwise(F.col("total"))).drop("of", "of_id", "of_size", "turn")
+
+    right, within = up != (rest > 0), size <= F.abs(rest)
+    rated = plan.where("open").join(rests(plan), same)
+    sides = rated.groupBy("of").agg(
+        F.max(F.abs(rest)).alias("rest"),
+        F.coalesce(F.sum(F.when(right & within, size)), F.lit(0)).alias("reach"),
+        F.coalesce(F.sum(F.when(~right, size)), F.lit(0)).alias("back"),
+        F.min(F.when(right & ~within, F.struct("size", "doc_id"))).alias("heavy"),
+    )
+    sides = sides.where((F.col("reach") < rest) & (F.col("heavy.size") - rest <= F.col("back")))
+    plan = saved(turn_units(sides.select("of", F.col("heavy.doc_id").alias("of_id"), F.col("heavy.size").alias("of_size"))), "mixing")
+    for turn in range(64):  # a rest shrinks eightfold each time
+        gaps = rests(plan)
+        rated = plan.join(gaps, same, "left").withColumn("fits", F.col("open") & (up != (rest > 0)) & (size * FEW <= F.abs(rest)))
+        rated = saved(rated.drop("of"), "mixing")
+        room = rated.where("fits").groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("room"))
+        if room.isEmpty():
+            break
+        chance = uniform(F.lit(seed), F.lit(turn), F.col("doc_id"), size, F.col("source")) * F.col("room") < F.abs(rest)
+        moved = rated.join(room, same, "left").withColumn("total", F.when(F.col("fits") & chance, turned).otherwise(F.col("total")))
+        plan = saved(moved.drop("of", "room", "rest", "fits"), "mixing")
+    chance = F.xxhash64(F.lit(seed), "doc_id", "size")
+    offer = plan.where("open").groupBy("source", F.floor(F.log2("size")).alias("class"), F.pmod(size, F.lit(VARIETY)).alias("kind"), up.alias("up"))
+    offer = offer.agg(F.min_by(F.struct("size", "doc_id", up.alias("up")), F.struct(chance, "doc_id")).alias("unit"))
+    offer = offer.groupBy("source").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units")).join(rests(plan), same).drop("of")
+    tries = offer.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))))
+    beforehand = F.element_at("units", (F.pmod(F.xxhash64(F.lit(seed), "way"), F.size("units")) + 1).cast("int"))
+    tries = tries.withColumn("first", F.when(F.col("way") > 0, beforehand))
+
+    def after(rest: Column, unit: Column) -> Column:
+        return rest + F.when(unit["up"], unit["size"]).otherwise(-unit["size"])
+
+    def take(acc: Column, unit: Column) -> Column:
+        nearer = F.abs(after(acc["rest"], unit)) < F.abs(acc["rest"])
+        heard = (F.col("way") == 0) | (uniform(F.lit(seed), F.col("way"), unit) < 0.75) & ~unit.eqNullSafe(F.col("first"))
+        return F.when(nearer & heard, F.struct(after(acc["rest"], unit).alias("rest"), F.concat(acc["turned"], F.array(unit)).alias("turned"))).otherwise(acc)
+
+    kind = T.ArrayType(offer.schema["units"].dataType.elementType)
+    start = F.struct(
+        F.when(F.col("way") > 0, after(rest, F.col("first"))).otherwise(rest).cast("double").alias("rest"),
+        F.when(F.col("way") > 0, F.array("first")).otherwise(F.array().cast(kind)).cast(kind).alias("turned"),
+    )
+    ends = tries.select("source", "way", F.aggregate("units", start, take).alias("end"))
+    best = ends.groupBy("source").agg(F.min_by("end.turned", F.struct(F.abs("end.rest"), F.size("end.turned"), "way")).alias("turned"))
+    steps = best.select(F.col("source").alias("of"), F.explode("turned").alias("step"))
+    return turn_units(steps.select("of", F.col("step.doc_id").alias("of_id"), F.col("step.size").alias("of_size")))
+
+
 def planned_units(docs: DataFrame, weights: Sequence[int], most: float, seed: int) -> DataFrame:
     """One row per distinct (doc_id, source, size): rows, source_size, target and the copies of all its rows, total."""
     rows = docs.select(col("doc_id").alias("doc_id"), col("source").alias("source"), word_count(col("text")).alias("size"))
@@ -120,9 +198,10 @@ def planned_units(docs: DataFrame, weights: Sequence[int], most: float, seed: in
     rounds = (F.col("size") > 0) & (F.col("p") > EDGE)
     unit = F.struct("doc_id", "size", "rows", "source_size", "target", "whole").alias("unit")
     up = pivotal_rounding(rated.where(rounds).select(F.col("source").alias("stratum"), unit, "size", "p"), seed)
-    rounded = up.select(F.col("stratum").alias("source"), "unit.*", (F.col("unit.whole") + F.col("up").cast("long")).alias("total"))
+    rounded = up.select(F.col("stratum").alias("source"), "unit.*", (F.col("unit.whole") + F.col("up").cast("long")).alias("total"), F.lit(True).alias("open"))
     sure = rated.where(~rounds).withColumn("total", F.when(F.col("size") == 0, F.col("rows")).otherwise(F.col("whole")))
-    return rounded.drop("whole").unionByName(sure.drop("whole", "p"))
+    plan = rounded.unionByName(sure.drop("p").withColumn("open", F.lit(False)))
+    return near_targets(saved(plan, "mixing"), seed).drop("whole", "open")
 
 
 def share_of(nth: Column) -> Column:
@@ -157,7 +236,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: f
     plan = plan.select("__key", F.struct("total", "rows").alias("__plan"))
     keyed = docs.withColumn("__key", key([col("doc_id"), col("source"), word_count(col("text"))]))
     joined = keyed.join(plan, "__key")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))) - 1
+    # Which of several rows with one key gets a copy more follows from its text, so reruns agree.
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.md5(F.coalesce(col("text"), F.lit("")).cast("binary")))) - 1
     total, rows = F.col("__plan.total"), F.col("__plan.rows")
     copies = F.floor(total / rows) + (nth < total % rows).cast("long")
     counted = joined.withColumn("__copies", copies)
