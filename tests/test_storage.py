@@ -1,5 +1,8 @@
 """Sources, sinks, snapshots, static tables, steps and streams."""
 
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from tracewell.sources.database import jdbc_options
 from tracewell.sources.documents import filter_column, scan_documents
 from tracewell.sources.snapshot import snapshot
 from tracewell.sources.static import StaticTables
+from tracewell.sources.store import Conflict, VersionedStore
 
 
 def test_jdbc_options():
@@ -88,6 +92,101 @@ def test_snapshot(spark, folder):
     assert snapshot(spark, folder, "s", 1000, build, now=200.0).count() == 2
 
 
+def test_store_versions(spark, folder):
+    store = VersionedStore(spark, f"{folder}/a b")  # a folder with a blank
+    assert store.versions() == [] and store.parts() == []
+    with pytest.raises(ValueError):
+        store.read("t")
+    rows = spark.createDataFrame([(1, "x"), (None, None), (1, "x")], "a int, b string")
+    one = store.append("t", rows, "ann", "c")
+    two = store.append("t", spark.createDataFrame([(2, 0.5)], "a int, c double"))
+    store.append("other \u00e9/..", rows.limit(0))
+    assert Counter(map(tuple, store.read("t").select("a", "b", "c").collect())) == Counter([(1, "x", None)] * 2 + [(None, None, None), (2, None, 0.5)])
+    before = sorted(map(str, store.read("t").select("a", "b", "c").collect()))
+    store.compact("t")
+    assert len(store.parts(name="t")) == 1 and len(store.parts(two, "t")) == 2 and len(store.parts()) == 2
+    assert sorted(map(str, store.read("t").select("a", "b", "c").collect())) == before
+    assert store.compact("t") == store.versions()[-1] == 4  # one part: nothing to do
+    assert store.read("other \u00e9/..").count() == 0
+    store.delete("t")
+    assert store.read("t", one).count() == 3
+    with pytest.raises(ValueError):
+        store.read("t")
+    assert store.replace("t", rows) == 6 and store.replace("t", rows.where("a = 1")) == 7
+    assert store.read("t").count() == 2 and store.read("t", 6).count() == 3
+    waiting = store.written(rows, "t")  # a writer that has not committed
+    assert len(store.expire(1)) == 4 and store.versions() == [7] and store.read("t").count() == 2
+    store.commit(lambda listed: [*listed, waiting])
+    assert store.read("t").count() == 5 and store.expire(5) == []
+    with pytest.raises(ValueError):
+        store.expire(0)
+
+
+def test_store_with_two_writers(spark, folder):
+    stores = [VersionedStore(spark, folder) for _ in range(2)]
+    rows = [spark.range(k, k + 1).cache() for k in range(12)]
+    with ThreadPoolExecutor(2) as both:
+        done = list(both.map(lambda k: stores[k % 2].append("t", rows[k]), range(12)))
+    assert sorted(done) == list(range(1, 13)) and sorted(r.id for r in stores[0].read("t").collect()) == list(range(12))
+    # Each sees what the other committed between its look and its commit.
+    calls = []
+
+    def late(listed):
+        calls.append(len(listed))
+        if len(calls) == 1:
+            stores[1].delete("t")
+        return [*listed, stores[0].written(rows[0], "u")]
+
+    assert stores[0].commit(late) == 14 and calls == [12, 0] and [p.name for p in stores[1].parts()] == ["u"]
+    # A compaction gives way to a delete, and leaves appended parts alone.
+    for k in (1, 2):
+        stores[0].append("t", rows[k])
+    written = stores[0].written
+
+    def meanwhile(act):
+        def write(*args):
+            part = written(*args)
+            act()
+            return part
+
+        stores[0].written = write
+
+    meanwhile(lambda: stores[1].append("t", rows[3]))
+    stores[0].compact("t")
+    assert len(stores[1].parts(name="t")) == 2 and sorted(r.id for r in stores[1].read("t").collect()) == [1, 2, 3]
+    meanwhile(lambda: stores[1].delete("t"))
+    with pytest.raises(Conflict):
+        stores[0].compact("t")
+    assert stores[1].parts(name="t") == []
+
+
+def test_store_commits_by_rename_where_files_are_not_local(spark, folder):
+    store = VersionedStore(spark, folder)
+    store._local = None
+    assert store.append("t", spark.range(3)) == 1 and store.append("t", spark.range(2)) == 2
+    assert not store._create(store._file(2), "[]") and store.read("t").count() == 5
+    store.compact("t")
+    assert store.versions() == [1, 2, 3] and store.read("t").count() == 5
+
+
+def test_snapshot_of_two_builders(spark, folder):
+    def slower():
+        snapshot(spark, folder, "s", 10, lambda: spark.range(7), now=100.0)
+        return spark.range(9)
+
+    assert snapshot(spark, folder, "s", 10, slower, now=101.0).count() == 7
+
+
+def test_csv_loads(spark, folder):
+    write_csv(spark.createDataFrame([(1, "a\nb"), (2, None)], "n int, t string"), f"{folder}/lines")
+    store = StaticTables(spark, f"{folder}/store")
+    store.load_csv(f"{folder}/lines", "lines", "ann", schema="n INT, t STRING", multiline=True)
+    store.load_csv(f"{folder}/lines", "lines", "ann", multiline=True)
+    store.compact("lines")
+    got = Counter(map(tuple, store.read("lines", schema="n INT, t STRING").collect()))
+    assert got == {(1, "a\nb"): 2, (2, None): 2} and len(store.store.parts()) == 1
+
+
 def test_files(spark, folder):
     df = spark.createDataFrame([(1, "a,\"b\"\nc", [1, 2])], "id int, t string, l array<int>")
     paths = write_named({"x": df, "y": df.drop("l")}, folder, "csv")

@@ -12,6 +12,7 @@ from tracewell.sinks.files import append_pages, write_csv, write_json, write_nam
 from tracewell.sources.documents import read_json_documents, scan_documents
 from tracewell.sources.snapshot import snapshot
 from tracewell.sources.static import StaticTables
+from tracewell.sources.store import VersionedStore
 
 R = Registry()
 
@@ -88,6 +89,43 @@ def static_delete(spark, folder):
     return store.rows().select("name", F.get_json_object("json", "$.s_suppkey").cast("bigint").alias("id"))
 
 
+def kinds(spark, folder):
+    """A store with a table loaded in three parts, clicks first, nulls with the last."""
+    store = VersionedStore(spark, new_path(spark, "store"))
+    events = table(spark, folder, "events").select("event_id", "event_type", "value")
+    kind = F.coalesce("event_type", F.lit(""))
+    first = store.append("events", events.where(kind == "click"))
+    second = store.append("events", events.where(kind == "view"))
+    store.append("events", events.where(~kind.isin("click", "view")))
+    return store, first, second
+
+
+@R.query("store_compact", "SELECT event_id, event_type, value, 1 AS parts FROM events")
+def store_compact(spark, folder):
+    """Three parts become one with the same rows; versions and folders before it are dropped."""
+    store, _, _ = kinds(spark, folder)
+    store.compact("events")
+    store.expire(1)
+    return store.read("events").withColumn("parts", F.lit(len(store.parts(name="events"))))
+
+
+@R.query(
+    "store_as_of",
+    """SELECT 'first' AS version, event_id, value FROM events WHERE event_type = 'click'
+       UNION ALL SELECT 'second', event_id, value FROM events WHERE event_type IN ('click', 'view')
+       UNION ALL SELECT 'newest', s_suppkey, s_acctbal FROM supplier""",
+)
+def store_as_of(spark, folder):
+    """Earlier versions read the same after the table was compacted, deleted and loaded anew."""
+    store, first, second = kinds(spark, folder)
+    store.compact("events")
+    store.delete("events")
+    store.append("events", table(spark, folder, "supplier").selectExpr("s_suppkey AS event_id", "s_acctbal AS value"))
+    versions = {"first": store.read("events", first), "second": store.read("events", second), "newest": store.read("events")}
+    parts = [df.select(F.lit(k).alias("version"), "event_id", "value") for k, df in versions.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @R.query("ttl_snapshot", "SELECT event_type, count(*) AS n, round(max(value), 2) AS top FROM events GROUP BY event_type")
 def ttl_snapshot(spark, folder):
     """The second call finds the first one's result, young enough."""

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tracewell.sources.store import Part, VersionedStore
 
 
 def snapshot(
@@ -20,22 +20,18 @@ def snapshot(
 ) -> DataFrame:
     """The newest finished result of `name`, if it started at most `ttl_seconds` ago.
 
-    Otherwise the result is built, written and logged; a run that fails leaves
-    no log line, so half-written data is never reused.
+    Otherwise the result is built, written and committed; a run that fails commits
+    nothing, so half-written data is never reused. Of two runs that build side by side
+    the first to commit is kept and given to both if it is young enough. Older results
+    stay readable until `VersionedStore.expire`.
     """
     now = time.time() if now is None else now
-    log_path = f"{root.rstrip('/')}/runs"
-    try:
-        log = spark.read.parquet(log_path).where(F.col("name") == name)
-        newest = log.agg(F.max(F.struct("started", "path")).alias("run")).first()["run"]
-    except Exception as error:  # no run was logged yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        newest = None
-    if newest is not None and now - newest["started"] <= ttl_seconds:
-        return spark.read.parquet(newest["path"])
-    path = f"{root.rstrip('/')}/data/{uuid.uuid4().hex}"
-    build().write.parquet(path)
-    line = spark.range(1).select(F.lit(name).alias("name"), F.lit(float(now)).alias("started"), F.lit(path).alias("path"))
-    line.write.mode("append").parquet(log_path)
-    return spark.read.parquet(path)
+    store = VersionedStore(spark, root)
+
+    def young(listed: list[Part]) -> list[Part]:
+        return [p for p in listed if p.name == name and now - p.written <= ttl_seconds]
+
+    if not young(store.parts()):
+        built = store.written(build(), name, at=now)
+        store.commit(lambda listed: listed if young(listed) else [*[p for p in listed if p.name != name], built])
+    return spark.read.parquet(max(store.parts(name=name), key=lambda p: p.written).folder)

@@ -1,4 +1,4 @@
-"""Static dictionaries: named tables of JSON rows, kept as partitioned Parquet."""
+"""Static dictionaries: named tables of JSON rows, kept as Parquet in a versioned store."""
 
 from __future__ import annotations
 
@@ -8,58 +8,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.sources.store import VersionedStore
+
 ROW_SCHEMA = "name STRING, timestamp TIMESTAMP, owner STRING, comment STRING, json STRING"
 
 
 class StaticTables:
-    """Rows under `root/rows/name=...`, deletions as a small log under `root/deleted`.
+    """Rows as JSON text in a versioned store: loads and deletes are commits, so one beside another is before or after it.
 
-    Loads append, deletes append one line, so neither rewrites the store; readers
-    leave out rows loaded before their name was deleted. `compacted` gives the
-    live rows for writing a fresh store.
+    A delete takes out what was committed before it, whatever the clocks of the writers say.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.store = spark, VersionedStore(spark, root)
 
     def load(self, rows: DataFrame, name: str, owner: str, comment: str = "") -> None:
         """Store any table under a name, each row as JSON text."""
         kept = rows.select(
+            F.lit(name).alias("name"),
             F.current_timestamp().alias("timestamp"),
             F.lit(owner).alias("owner"),
             F.lit(comment).alias("comment"),
             F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("json"),
-            F.lit(name).alias("name"),
         )
-        kept.write.mode("append").partitionBy("name").parquet(f"{self.root}/rows")
+        self.store.append(name, kept, owner, comment)
 
-    def load_csv(self, path: str, name: str, owner: str, comment: str = "") -> None:
-        # Quotes inside cells are doubled and cells may hold line breaks.
-        rows = self.spark.read.csv(path, header=True, inferSchema=True, escape='"', multiLine=True)
-        self.load(rows, name, owner, comment)
+    def load_csv(self, path: str, name: str, owner: str, comment: str = "", schema: str | T.StructType | None = None, multiline: bool = False) -> None:
+        """Quotes inside cells are doubled. With a schema the files are read once, else once more for the types.
+        Only with `multiline` may cells hold line breaks; a file is one task then."""
+        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read.option("inferSchema", "true")
+        self.load(reader.csv(path, header=True, escape='"', multiLine=multiline), name, owner, comment)
 
     def delete(self, name: str) -> None:
-        mark = self.spark.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("deleted_at"))
-        mark.write.mode("append").parquet(f"{self.root}/deleted")
-
-    def rows(self) -> DataFrame:
-        """Live rows of all names."""
-        stored = self.spark.read.schema(ROW_SCHEMA).parquet(f"{self.root}/rows")
-        try:
-            marks = self.spark.read.parquet(f"{self.root}/deleted")
-        except Exception as error:  # nothing was ever deleted
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return stored
-        last = marks.groupBy(F.col("name").alias("__name")).agg(F.max("deleted_at").alias("__deleted"))
-        gone = (F.col("name") == F.col("__name")) & (F.col("timestamp") <= F.col("__deleted"))
-        return stored.join(last, gone, "left_anti")
-
-    compacted = rows
+        self.store.delete(name)
+
+    def compact(self, name: str) -> None:
+        """Write the rows of all loads of a name as one part of few files."""
+        self.store.compact(name)
+
+    def rows(self, name: str | None = None) -> DataFrame:
+        """Live rows of all names, or of one."""
+        folders = [p.folder for p in self.store.parts(name=name)]
+        if not folders:
+            return self.spark.createDataFrame([], ROW_SCHEMA)
+        return self.spark.read.schema(ROW_SCHEMA).parquet(*folders)
 
     def read(self, name: str, limit: int | None = None, schema: str | T.StructType | None = None) -> DataFrame:
         """Rows of one name, parsed. Without a schema it is inferred in one aggregate."""
-        chosen = self.rows().where(F.col("name") == name)
+        chosen = self.rows(name)
         if limit is not None:
             chosen = chosen.limit(limit)
         if schema is None:
