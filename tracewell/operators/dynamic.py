@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tracewell.columns import col, cols
 from tracewell.operators.aggregate import ORDERED, PARTIAL, Spec, aggregate, aggregate_columns, expand_spec
-from tracewell.session import cut_lineage, new_path
+from tracewell.operators.connected import connected
+from tracewell.session import cut_lineage, new_path, write_and_read
 
 ID = "__id"
 COMPONENT_ROWS = 200_000
@@ -64,7 +65,7 @@ def dynamic_aggregate(
 
 
 def merge_layer(rows: DataFrame, keys: Sequence[str], spec: Spec, component_rows: int) -> DataFrame:
-    seeds = assign_seeds(rows, keys, component_rows)
+    seeds = write_and_read(assign_seeds(rows, keys, component_rows), "seeds")
     joined = rows.join(seeds, ID)
     values = [
         F.when(F.col("field") == i, F.array_join(F.sort_array(F.collect_set(F.when(F.col("field") == i, col(k)))), ","))
@@ -99,14 +100,15 @@ def line_edges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def assign_seeds(rows: DataFrame, keys: Sequence[str], component_rows: int) -> DataFrame:
     """(id, seed, field) for every row: components first, so no task sees more than whole components of a bounded size."""
-    edges = cut_lineage(line_edges(rows, keys))
+    edges = write_and_read(line_edges(rows, keys), "lines")
     # Rows alone on all their lines stay as they are.
     alone = edges.groupBy(ID).agg(F.max("size").alias("most")).where("most = 1")
     single = alone.select(ID, F.col(ID).alias("seed"), F.lit(0).alias("field"))
-    shared = edges.where("size > 1").select(ID).distinct()
-    edges = edges.join(shared, ID, "left_semi")
-
-    labels = components(edges.where("size > 1"))
+    # A line's number holds its first row: rows are linked to it, without a join. Lines of one row link nothing, but a row
+    # that shares another line needs them later.
+    first = F.floor(F.col("line") / len(keys)).cast("long")
+    labels = write_and_read(connected(edges.where("size > 1").select(F.col(ID).alias("a"), first.alias("b"))).toDF(ID, "label"), "labels")
+    edges = edges.join(labels.select(ID), ID, "left_semi")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
     summary = sizes.agg(
         F.sum(F.when(F.col("rows") <= component_rows, F.col("rows"))).alias("small"), F.max("rows").alias("largest")
@@ -125,23 +127,6 @@ def assign_seeds(rows: DataFrame, keys: Sequence[str], component_rows: int) -> D
     return result
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label): smallest row id of the component, by label spreading and jumping."""
-    labels = cut_lineage(edges.groupBy(ID).agg(F.min(F.col(ID)).alias("label")))
-    while True:
-        reach = edges.join(labels, ID).groupBy("line").agg(F.min("label").alias("label"))
-        spread = edges.select(ID, "line").join(reach, "line").groupBy(ID).agg(F.min("label").alias("label"))
-        # Jump: take the label of the row the label names.
-        jump = spread.select(F.col(ID).alias("label"), F.col("label").alias("next"))
-        after = cut_lineage(
-            spread.join(jump, "label", "left").select(ID, F.least("label", "next").alias("label"))
-        )
-        moved = after.join(labels.withColumnRenamed("label", "before"), ID).where("label <> before")
-        if moved.isEmpty():
-            return after
-        labels = after
-
-
 def solve_in_tasks(source: DataFrame) -> DataFrame:
     """Rows (id, lines by field, batch) solved in row order; batches hold whole components."""
 
@@ -170,7 +155,7 @@ def solve_in_tasks(source: DataFrame) -> DataFrame:
 
 def solve_by_rounds(edges: DataFrame) -> DataFrame:
     """Greedy over one component of any size: every round all safe rows act."""
-    left = cut_lineage(edges.select(ID, "field", "line"))
+    left = write_and_read(edges.select(ID, "field", "line"), "left")
     path = new_path(edges.sparkSession, "merged")
     while not left.isEmpty():
         near = smallest_over_lines(left, left.select(ID, F.col(ID).alias("low")).distinct())
@@ -183,8 +168,8 @@ def solve_by_rounds(edges: DataFrame) -> DataFrame:
             .agg(F.max_by(F.struct("line", "field"), F.struct("n", -F.col("field"))).alias("pick"))
             .select(F.col(ID).alias("seed"), F.col("pick.line").alias("line"), F.col("pick.field").alias("chosen"))
         )
-        taken = cut_lineage(left.join(choice, "line").select(ID, "seed", F.col("chosen").alias("field")))
-        left = cut_lineage(left.join(taken.select(ID), ID, "left_anti"))
+        taken = write_and_read(left.join(choice, "line").select(ID, "seed", F.col("chosen").alias("field")), "taken")
+        left = write_and_read(left.join(taken.select(ID), ID, "left_anti"), "left")
         taken.write.mode("append").parquet(path)
     return edges.sparkSession.read.schema(f"{ID} bigint, seed bigint, field int").parquet(path)
 

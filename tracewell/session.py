@@ -60,3 +60,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors, keeps iterative plans short."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_and_read(df: DataFrame, label: str) -> DataFrame:
+    """Cuts the lineage of a table of plain columns by writing it once; a checkpoint works it out a second time."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
