@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from tracewell.operators.dynamic import dynamic_aggregate
+from tracewell.operators import dynamic
+from tracewell.operators.dynamic import assign_seeds, dynamic_aggregate
 
 
 def model(rows, fields):
@@ -67,3 +68,48 @@ def test_specs_that_rename_run_over_layers(spark):
     assert [tuple(r) for r in out.collect()] == [("a,b", "x,y", 1, 10, True)]
     with pytest.raises(ValueError):
         dynamic_aggregate(df, ["h", "r"], {"v": ["sum"]}, ["h", "r"], {"v_sum": "median"})
+
+
+def plain_pass(rows):
+    """(id, seed, field) of the greedy pass over (id, key, ...) rows in id order."""
+    left, out = dict((r[0], r[1:]) for r in rows), []
+    for number, *values in sorted(rows):
+        if number not in left:
+            continue
+        fields = range(len(values))
+        lines = [[o for o, other in left.items() if all(other[g] == values[g] for g in fields if g != f)] for f in fields]
+        best = max(fields, key=lambda f: len(lines[f]))
+        out += [(o, number, best) for o in lines[best]]
+        for o in lines[best]:
+            del left[o]
+    return sorted(out)
+
+
+def scattered(sides, n):
+    random.seed(23)
+    return sorted({tuple(random.randrange(side) for side in sides) for _ in range(n)})
+
+
+@pytest.mark.parametrize("values,blocks,most_rounds", [
+    (scattered((60, 25), 900), 6, 8),  # dense: the former way took a round a row that acts
+    (scattered((12, 12, 12), 700), 5, 16),
+    ([(i // 2, (i + 1) // 2) for i in range(600)], 6, 9),  # a chain through all rows
+    ([(0, i) for i in range(500)], 5, 5),  # one line holds all rows
+])
+def test_blocks_of_one_component(spark, monkeypatch, values, blocks, most_rounds):
+    rounds, one = [], dynamic.solve_round
+    monkeypatch.setattr(dynamic, "solve_round", lambda state: rounds.append(1) or one(state))
+    data = [(3 * i + 2, *map(str, v)) for i, v in enumerate(values)]
+    keys = [f"k{i}" for i in range(len(values[0]))]
+    df = spark.createDataFrame(data, "__id long, " + ", ".join(f"{k} string" for k in keys))
+    got = sorted(map(tuple, assign_seeds(df, keys, len(data), len(data) // blocks).collect()))
+    assert got == plain_pass(data)
+    assert 1 < len(rounds) <= most_rounds
+
+
+def test_no_rows_and_one_layer(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3), ("b", "y", 4)], "h string, r string, v int")
+    args = (["h", "r"], {"v": ["sum"]}, ["h", "r"], {"v_sum": "sum"})
+    assert dynamic_aggregate(df.where("false"), *args).count() == 0
+    got = sorted(tuple(r) for r in dynamic_aggregate(df, *args, layers=1).collect())
+    assert got == [("a,b", "x", 4, True), ("a,b", "y", 6, True)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.columns import rename_all
 from tracewell.operators.aggregate import aggregate, aggregate_by_time, lists_to_text, result_counts
 from tracewell.operators.buckets import DateHistogram, Terms, bucket_aggregate, flatten_buckets
-from tracewell.operators.dynamic import dynamic_aggregate
+from tracewell.operators.dynamic import COMPONENT_ROWS, dynamic_aggregate
 from tracewell.operators.lattice import cube_sets, grouping_lattice
 from tracewell.operators.rows import first_per_key, latest_per_key
 from tracewell.operators.sketches import SketchTable, build_sketches, estimates
@@ -132,6 +132,33 @@ def agg_dynamic_lines(spark, folder):
     return out.drop("aggregated").toDF("customer", "twin", "priority", "orders", "largest", "smallest")
 
 
+@R.query(
+    "agg_dynamic_dense",
+    """WITH RECURSIVE base AS (SELECT row_number() OVER (ORDER BY s, m) AS id, s, m, n, top FROM (
+         SELECT l_suppkey AS s, strftime(l_shipdate, '%Y-%m') AS m, count(*) AS n, max(l_extendedprice) AS top FROM lineitem GROUP BY ALL)),
+       pass(id, s, m, n, top, seed, field) AS (
+         SELECT id, s, m, n, top, CAST(NULL AS BIGINT), 0 FROM base
+         UNION ALL
+         SELECT o.id, o.s, o.m, o.n, o.top, CASE WHEN CASE WHEN l.field = 0 THEN o.m = l.m ELSE o.s = l.s END THEN l.id END, l.field
+         FROM (SELECT * FROM pass WHERE seed IS NULL) o,
+              (SELECT f.id, f.s, f.m, CASE WHEN count(*) FILTER (WHERE x.m = f.m) >= count(*) FILTER (WHERE x.s = f.s) THEN 0 ELSE 1 END AS field
+               FROM (SELECT id, s, m FROM pass WHERE seed IS NULL ORDER BY id LIMIT 1) f, (SELECT s, m FROM pass WHERE seed IS NULL) x
+               GROUP BY f.id, f.s, f.m) l)
+       SELECT CASE WHEN field = 0 THEN string_agg(DISTINCT CAST(s AS VARCHAR), ',' ORDER BY CAST(s AS VARCHAR)) ELSE CAST(min(s) AS VARCHAR) END AS supplier,
+              CASE WHEN field = 1 THEN string_agg(DISTINCT m, ',' ORDER BY m) ELSE min(m) END AS month,
+              CAST(sum(n) AS BIGINT) AS lines, max(top) AS largest
+       FROM pass WHERE seed IS NOT NULL GROUP BY seed, field""",
+)
+def agg_dynamic_dense(spark, folder):
+    """One layer over suppliers and months, one dense component, cut into eight blocks or more."""
+    lines = table(spark, folder, "lineitem").select("l_suppkey", F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_extendedprice")
+    keys = ["l_suppkey", "month"]
+    spec = {"l_extendedprice_count": "sum", "l_extendedprice_max": "max"}
+    limit = min(COMPONENT_ROWS, 1 + lines.select(*keys).distinct().count() // 8)
+    out = dynamic_aggregate(lines, keys, {"l_extendedprice": ["count", "max"]}, keys, spec, component_rows=limit, layers=1)
+    return out.drop("aggregated").toDF("supplier", "month", "lines", "largest")
+
+
 @R.query("list_to_str", f"WITH {ALERTS} SELECT pid, indices FROM alerts")
 def list_to_str(spark, folder):
     out = lists_to_text(alerts(spark, folder), {"rule.indices": "indices"})
