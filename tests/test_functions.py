@@ -72,6 +72,36 @@ def test_patterns(spark, pattern):
     assert df.limit(1).select(regexp_substr(pattern, "cast(null AS string)")).first()[0] == "regexp_error"
 
 
+ODD_TEXTS = [*TEXTS, "Zoë ٣٤ naïve\u00a0x\u2028y\u0301_1", "a\r\nb\n", "x\x85y\x00z\u200b\U000e0001", "['a&&b']", "aab  ba", "日本語 12 \U0001f600y"]
+
+
+@pytest.mark.parametrize("pattern", [
+    r"\w+", r"\d+", r"\s", r"\S+", r"\W", r"\b\w", r"[\w&]+", r"[^\s\w]", r"[&^[]+", r"a*", r".+", r"b$", r"^.", r"(a)|(b)", r"(?P<x>a)(?:b|a)(?=b)", r"a{1,2}",
+    r"", r"x*?(?=y)", r"\b", r"it's", r"\[.\]", r"[a\]-]", r"(\w)(\w)(\w)", r"x?y",
+])
+def test_literal_patterns_are_native_and_the_same(spark, pattern):
+    register_functions(spark)
+    spark.createDataFrame([(t,) for t in [*ODD_TEXTS, None]], "t string").createOrReplaceTempView("odd_texts")
+    literal = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    out = spark.sql(pattern_first(f"SELECT t, regexp('{literal}', t) AS s, regexp_substr( '{literal}' , t) AS l FROM odd_texts"))
+    assert "ython" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        if r.t is None:
+            assert (r.s, r.l) == (None, "regexp_error")
+        else:
+            assert (r.s, r.l) == (re.search(pattern, r.t) is not None, str(re.findall(pattern, r.t)))
+    raw = spark.sql(pattern_first(f'SELECT t, regexp_substr(r\'{pattern}\', t) AS l FROM odd_texts')) if "'" not in pattern else out
+    assert sorted(r.l for r in raw.collect()) == sorted(r.l for r in out.collect())
+
+
+@pytest.mark.parametrize("pattern", [r"(?i)ZO", r"(?<=a)b", r"(a)\1", r"[\W]", r"(a)(a)?(b)?(x)?", r"\x41", "a{,2}"])
+def test_other_patterns_keep_their_meaning(spark, pattern):
+    register_functions(spark)
+    spark.createDataFrame([(t,) for t in ODD_TEXTS], "t string").createOrReplaceTempView("odd_texts")
+    for text in (f"SELECT t, regexp_substr(r'{pattern}', t) AS l FROM odd_texts", "SELECT t, regexp_substr(p, t) AS l FROM odd_texts, (SELECT r'" + pattern + "' AS p)"):
+        assert all(r.l == str(re.findall(pattern, r.t)) for r in spark.sql(pattern_first(text)).collect())
+
+
 def size_text(value):
     try:
         number = int(float(value))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.plans.steps import Step, nested_chain, run_chain, shown, sql_step
-from tracewell.sinks.files import append_pages, write_csv, write_named
+from tracewell.sinks.files import append_pages, write_csv, write_named, write_pages_once
 from tracewell.sources.database import jdbc_options
 from tracewell.sources.documents import filter_column, scan_documents
 from tracewell.sources.snapshot import snapshot
@@ -225,3 +225,21 @@ def test_chains(spark):
         nested_chain(chain, "nothing", least=1)
     with pytest.raises(ValueError):
         run_chain([Step("rows", lambda r: r["rows"])], {"rows": spark.range(1)})
+
+
+def test_pages_once(spark, folder):
+    """The first page wins; ties, a null id, a hot id, a column only one page has, and names that clash."""
+    schema = "_id string, v string, row int"
+    first = spark.createDataFrame([("1", "b", 1), ("1", "a", 2), (None, "n", 3)], schema)
+    second = spark.createDataFrame([("hot", "same", 1)] * 300 + [("1", "0", 0), (None, "m", 0)], schema)
+    third = spark.createDataFrame([("hot", "x", None), ("3", None, "late")], "_id string, v string, more string")
+    taken = []
+    pages = (taken.append(1) or page for page in (first, first.where("false"), second, third))
+    write_pages_once(pages, f"{folder}/once", f"{folder}/work")
+    back = spark.read.csv(f"{folder}/once", header=True, schema="_id STRING, v STRING, row INT, more STRING")
+    assert {tuple(r) for r in back.collect()} == {("1", "a", 2, None), (None, "n", 3, None), ("hot", "same", 1, None), ("3", None, None, "late")}
+    assert back.count() == 4 and len(taken) == 4
+    write_pages_once([first.where("false")], f"{folder}/empty", f"{folder}/work2")
+    assert spark.read.csv(f"{folder}/empty", header=True, schema=schema).count() == 0
+    with pytest.raises(ValueError):
+        write_pages_once([], f"{folder}/none", f"{folder}/work3")

@@ -19,11 +19,23 @@ def regexp_find_all(pattern: str, text: str) -> Column:
     return F.regexp_extract_all(F.expr(text), F.lit(pattern), F.lit(1 if groups else 0))
 
 
+# What is escaped in quoted text: all but letters, marks, numbers, punctuation, symbols and the space.
+HIDDEN = "[\\\\p{C}\\\\p{Z}&&[^ ]]"
+
+
+def shown_sql(value: str) -> str:
+    """Characters that cannot be printed as \\x85, \\u200b and so on."""
+    escapes = [f"concat('\\\\{kind}', lpad(lower(hex(ascii(c))), {digits}, '0'))" for kind, digits in (("x", 2), ("u", 4), ("U", 8))]
+    one = f"CASE WHEN NOT c RLIKE '{HIDDEN}' THEN c WHEN ascii(c) < 256 THEN {escapes[0]} WHEN ascii(c) < 65536 THEN {escapes[1]} ELSE {escapes[2]} END"
+    return f"CASE WHEN {value} RLIKE '{HIDDEN}' THEN array_join(transform(split({value}, ''), c -> {one}), '') ELSE {value} END"
+
+
 def quoted_sql(value: str) -> str:
     """Python's quoted form of a string: single quotes unless only those occur inside."""
     escaped = f"replace({value}, '\\\\', '\\\\\\\\')"
     for raw, shown in (("\\n", "n"), ("\\r", "r"), ("\\t", "t")):
         escaped = f"replace({escaped}, '{raw}', '\\\\{shown}')"
+    escaped = shown_sql(escaped)
     single = f"concat('\\'', replace({escaped}, '\\'', '\\\\\\''), '\\'')"
     double = f"concat('\"', {escaped}, '\"')"
     return f"CASE WHEN contains({value}, '\\'') AND NOT contains({value}, '\"') THEN {double} ELSE {single} END"
@@ -48,6 +60,55 @@ def regexp_substr(pattern: str, text: str) -> Column:
     return F.expr(find_all_text_sql(literal, text, re.compile(pattern).groups))
 
 
+# Classes whose letters mean all of Unicode in patterns as they are established here, as the content of a bracket.
+WIDE = {"d": r"\p{Nd}", "w": r"\p{L}\p{N}_", "s": r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"}
+TOKENS = re.compile(
+    r"""(?P<set>\[\^?(?:[^\]\\]|\\.)(?:[^\]\\]|\\.)*\])|\\(?P<escape>.)|\(\?P<(?P<name>[A-Za-z][A-Za-z0-9]*)>|(?P<same>\((?:\?[:=!])?(?!\?)|
+    \{\d+(?:,\d*)?\}|[^\[\]\\(){}])""",
+    re.S | re.X,
+)
+PLAIN_ESCAPES = frozenset("ntr.^$*+?()[]{}|/\\-'\"@#%&,:;<>=!~ `")
+
+
+def native_pattern(pattern: str) -> str | None:
+    """The same pattern for the JVM, or None where the two may differ (flags, look-behind, back references, odd classes).
+
+    Letters, digits and blanks are those of all of Unicode, only a line feed ends a line.
+    """
+    out, place = ["(?d)"], 0
+    while place < len(pattern):
+        token = None if pattern[place] == ")" else TOKENS.match(pattern, place)
+        if pattern[place] == ")":
+            out.append(")")
+            place += 1
+            continue
+        if token is None:
+            return None
+        place = token.end()
+        if inside := token["set"]:
+            start = "[^" if inside.startswith("[^") else "["
+            parts = re.findall(r"\\.|.", inside[len(start) : -1], re.S)
+            if not all(p[0] != "\\" or p[1] in WIDE or p[1] in PLAIN_ESCAPES for p in parts):
+                return None
+            parts = [WIDE.get(p[1], p) if p[0] == "\\" else "\\" + p if p in "[&^" else p for p in parts]
+            out.append(start + "".join(parts) + "]")
+        elif escape := token["escape"]:
+            word = f"[{WIDE['w']}]"
+            if escape in WIDE:
+                out.append(f"[{WIDE[escape]}]")
+            elif escape.lower() in WIDE:
+                out.append(f"[^{WIDE[escape.lower()]}]")
+            elif escape == "b":
+                out.append(f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+            elif escape in PLAIN_ESCAPES:
+                out.append("\\" + escape)
+            else:
+                return None
+        else:
+            out.append("(" if token["name"] else token["same"])
+    return "".join(out)
+
+
 # Size units, each 1024 times the one before.
 UNITS = ("B", "KB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB")
 # End of fixed values.

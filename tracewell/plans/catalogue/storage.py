@@ -8,7 +8,7 @@ from tracewell.operators.rows import first_per_key
 from tracewell.plans.catalogue import Registry
 from tracewell.plans.catalogue.derived import table
 from tracewell.session import new_path
-from tracewell.sinks.files import append_pages, write_csv, write_json, write_named, write_parquet
+from tracewell.sinks.files import append_pages, write_csv, write_json, write_named, write_pages_once, write_parquet
 from tracewell.sources.documents import read_json_documents, scan_documents
 from tracewell.sources.snapshot import snapshot
 from tracewell.sources.static import StaticTables
@@ -185,3 +185,17 @@ def sink_append(spark, folder):
     append_pages(events.where("event_type <> 'view'"), path)
     stored = spark.read.csv(path, header=True, schema="_id BIGINT, event_type STRING")
     return first_per_key(stored, ["_id"], ["_id"])
+
+
+@R.query(
+    "sink_pages_once",
+    """SELECT user_id AS _id, arg_min(event_type, CASE event_type WHEN 'error' THEN '0' WHEN 'view' THEN '1' ELSE '2' || event_type END) AS event_type
+       FROM events GROUP BY user_id""",
+)
+def sink_pages_once(spark, folder):
+    """Three overlapping pages; every id is written once, from the first page that has it."""
+    path = new_path(spark, "once")
+    events = table(spark, folder, "events").select(F.col("user_id").alias("_id"), "event_type")
+    pages = (events.where(c) for c in ("event_type = 'error'", "event_type = 'view'", "true"))
+    write_pages_once(pages, path, new_path(spark, "pages"))
+    return spark.read.csv(path, header=True, schema="_id BIGINT, event_type STRING")

@@ -49,8 +49,9 @@ def sql_step(
     """
     if functions:
         register_functions(spark)
-        final_query = pattern_first(final_query)
-        preparatory_queries = [(name, pattern_first(select)) for name, select in preparatory_queries]
+        native = spark.conf.get("spark.sql.parser.escapedStringLiterals", "false") == "false"
+        final_query = pattern_first(final_query, native)
+        preparatory_queries = [(name, pattern_first(select, native)) for name, select in preparatory_queries]
     views = {name: normalize_columns(df, to_text) for name, df in inputs.items()}
     made = [name for name, _ in preparatory_queries]
     with named_views(spark, views, made):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracewell.columns import col, to_text
 from tracewell.operators.rows import first_per_key
 
+PAGE, ORDER = "__page", "__order"
+
 
 def flat(df: DataFrame) -> DataFrame:
     """CSV has no nested values: they are written as JSON text."""
@@ -45,3 +48,24 @@ def append_pages(pages: DataFrame, path: str, id_column: str = "_id", dedupe: bo
     repeats over pages stay, to be dropped on `_id` when the export is read."""
     rows = first_per_key(pages, [id_column], [id_column]) if dedupe else pages
     write_csv(rows, path, "append")
+
+
+def write_pages_once(pages: Iterable[DataFrame], path: str, work: str, id_column: str = "_id", mode: str = "error") -> None:
+    """An export in which every id is written once, as it stands in the first page that has it.
+
+    Pages are taken one at a time (an iterator may fetch them), kept as Parquet below `work`, a new folder that all
+    executors reach, and read back in one plan: ids meet in one partial aggregate, and no page is read twice from its source.
+    Rows without an id are one id. Of rows of one page with the same id the one with the least text of its columns is
+    kept. Columns are those of all pages, missing ones are null. No pages are an error.
+    """
+    stored: DataFrame | None = None
+    for number, page in enumerate(pages):
+        kept = f"{work.rstrip('/')}/page-{number}"
+        page.write.parquet(kept)
+        page = page.sparkSession.read.schema(page.schema).parquet(kept).withColumn(PAGE, F.lit(number))
+        stored = page if stored is None else stored.unionByName(page, allowMissingColumns=True)
+    if stored is None:
+        raise ValueError("an export needs at least one page")
+    texts = [F.coalesce(to_text(stored, c), F.lit("")) for c in stored.columns if c != PAGE]
+    ranked = stored.withColumn(ORDER, F.struct(col(PAGE), F.array(*texts)))
+    write_csv(first_per_key(ranked, [id_column], [ORDER]).drop(PAGE, ORDER), path, mode)
