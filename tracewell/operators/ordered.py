@@ -103,14 +103,16 @@ def add_slices(df: DataFrame, keys: Sequence[str], order_column: str, slices: Sl
     """Add HOT and SLICE: found by binary search over the cut points, -1 for nulls, 0 in whole groups."""
     marked = mark_hot(df, keys, slices)
     number = as_number(marked, order_column)
+    # One literal that is searched in steps: a tree of comparisons has as many nodes in every plan as there are cut points.
+    bounds = F.split(F.lit(",".join(map(repr, slices.bounds))), ",").cast("array<double>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(slices.bounds).bit_length()))])
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(number < F.lit(slices.bounds[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+    def search(at: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda place, step: F.when(F.get(bounds, place + step - 1) <= at, place + step).otherwise(place))
 
-    place = F.when(number.isNull(), F.lit(-1)).otherwise(search(0, len(slices.bounds)))
+    # The number is worked out once a row.
+    found = F.transform(F.array(number), search)[0] if slices.split else F.lit(0)
+    place = F.when(number.isNull(), F.lit(-1)).otherwise(found)
     return marked.withColumn(SLICE, F.when(F.col(HOT), place).otherwise(F.lit(0)))
 
 
