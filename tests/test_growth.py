@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tracewell.columns import attach
 from tracewell.operators.ordered import SLICE, Slices, add_slices
 
 
@@ -21,3 +22,13 @@ def test_slices_are_found_by_a_search_that_is_short_in_the_plan(spark):
         for v, place in sliced.select("v", SLICE).collect():
             assert place == (-1 if v is None else sum(v >= b or v != v for b in cuts))
     assert len(plan_of(add_slices(spark.range(1), [], "id", Slices(bounds)).limit(1)).split("CASE WHEN")) < 50
+
+
+def test_limits_of_few_strata_come_to_the_rows(spark, monkeypatch):
+    from tracewell.operators import sampling
+
+    asked = []
+    monkeypatch.setattr(sampling, "attach", lambda *a, **k: (asked.append(k.get("small")), attach(*a, **k))[1])
+    rows = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("s"))
+    assert sampling.sample_strata(rows, ["s"], 10, ["id"], 1).groupBy("s").count().select("count").distinct().first()[0] == 10
+    assert asked == [True]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.columns import attach, col, cols
-from tracewell.operators.ordered import number_rows
+from tracewell.operators.ordered import FEW_GROUPS, number_rows
 from tracewell.session import cut_lineage
 
 SPARE = 6.0  # deviations that the threshold lies above the wanted share
@@ -56,7 +56,8 @@ def sample_strata(
         spare = F.col("__wanted") + SPARE * F.sqrt("__wanted") + 16
         limits = counts.withColumn("__below", F.lit(factor) * spare / F.col("__n"))
         if strata:
-            near = attach(marked, limits, strata)
+            # Many rows of few strata stay where they are.
+            near = attach(marked, limits, strata, small=groups <= FEW_GROUPS)
         else:  # one row, or none
             one = limits.first() or {"__wanted": 0, "__below": 0.0}
             near = marked.withColumns({n: F.lit(one[n]) for n in ("__wanted", "__below")})
