@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tracewell.columns import attach
+from tracewell.operators import ranges
 from tracewell.operators.ordered import SLICE, Slices, add_slices
 from tracewell.plans.catalogue import all_queries
 
@@ -41,3 +42,20 @@ def test_sketches_do_not_travel_with_distinct_values(spark, tmp_path):
     found = all_queries()["sql_approx"](spark, str(tmp_path))
     assert {tuple(r) for r in found.collect()} == {(f, 700, True, True, True) for f in "ANR"}
     assert not re.search(r"keys=\[[^\]]*l_partkey[^\]]*\], functions=\[[^\n]*percentile_approx", plan_of(found))
+
+
+def test_usual_keys_of_overlaps_are_joined_as_they_are(spark, monkeypatch):
+    random.seed(4)
+    spans = lambda keys, n: [(i, random.choice(keys), a, a + random.randrange(-1, 90)) for i in range(n) for a in [random.randrange(500)]]
+    monkeypatch.setattr(ranges, "FEW_RANGES", 6)
+    for stabs, keys in ((0, [*range(60), None]), (2, [*range(60), *[7] * 30, None])):
+        left, right = spans(keys, 150), [*spans(keys, 150), (999, 3, None, 5)]
+        used = []
+        stab = ranges._stab
+        monkeypatch.setattr(ranges, "_stab", lambda *a, **k: (used.append(1), stab(*a, **k))[1])
+        lefts, rights = spark.createDataFrame(left, "i int, k int, a int, b int"), spark.createDataFrame(right, "j int, l int, c int, d int")
+        found = ranges.overlap_join(lefts, rights, [("k", "l")], (F.col("a"), F.col("b")), (F.col("c"), F.col("d")), 16.0)
+        wanted = [(i, j) for i, k, a, b in left for j, l, c, d in right if k is not None and k == l and c is not None and a <= b and c <= d and c <= b and a <= d]
+        assert sorted((r.i, r.j) for r in found.collect()) == sorted(wanted) and wanted
+        assert len(used) == stabs
+        monkeypatch.setattr(ranges, "_stab", stab)

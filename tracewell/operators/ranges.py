@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.columns import col, cols, quote
 from tracewell.operators.ordered import Slices, as_number, carry_last
+from tracewell.session import write_and_read
 
 
 def asof_join(
@@ -46,6 +47,7 @@ def asof_join(
 
 
 RADIX_BITS = 4  # a node of one level covers 16 of the level below
+FEW_RANGES, MANY_RANGES = 64, 100_000  # keys with so few ranges on one side, and no more on the other, are not cut
 FARTHEST = 1 << 58  # cells beyond are one cell: open ends are allowed
 
 # Cells first..last as the fewest nodes of a 16-way tree over the line: of every level the nodes that no larger one covers.
@@ -119,10 +121,12 @@ def overlap_join(
 ) -> DataFrame:
     """Pairs with equal keys whose ranges have a point in common, ends included.
 
-    Of two ranges that overlap, either the right one starts within the left one,
-    or the left one starts within the right one and after its start: two joins of
-    ranges and points (see _stab) find each pair once, in work that follows the
-    rows, the logarithm of their lengths and the pairs found. Ranges are numbers
+    Keys with at most FEW_RANGES rows on one side, the usual ones, are joined as
+    they are. For the others: of two ranges that overlap, either the right one
+    starts within the left one, or the left one starts within the right one and
+    after its start: two joins of ranges and points (see _stab) find each pair
+    once, in work that follows the rows, the logarithm of their lengths and the
+    pairs found. Rows whose key the other side lacks go no farther. Ranges are numbers
     as for range_join; one with a null end or that ends before it starts overlaps
     nothing, infinite ends are open. Column names of both sides must differ.
     """
@@ -130,7 +134,22 @@ def overlap_join(
     lefts, rights = left.withColumn("__a", a).withColumn("__b", b), right.withColumn("__c", c).withColumn("__d", d)
     lefts, rights = lefts.where("__a <= __b"), rights.where("__c <= __d")
     names = [*cols(left.columns), *cols(right.columns)]
+    held, asked = [f"__x{i}" for i in range(len(on))], [f"__y{i}" for i in range(len(on))]
+    of_left, of_right = ([col(pair[side]) == F.col(n) for pair, n in zip(on, marks)] for side, marks in ((0, held), (1, asked)))
+    many = lefts.groupBy(*[col(x).alias(n) for (x, _), n in zip(on, held)]).agg(F.count(F.lit(1)).alias("__n"))
+    more = rights.groupBy(*[col(y).alias(n) for (_, y), n in zip(on, asked)]).agg(F.count(F.lit(1)).alias("__m"))
+    sizes = many.join(more, [F.col(x) == F.col(y) for x, y in zip(held, asked)] or F.lit(True))
+    short = (F.least("__n", "__m") <= FEW_RANGES) & (F.greatest("__n", "__m") <= MANY_RANGES)
+    sizes = write_and_read(sizes.select(*held, *asked, short.alias("__short")), "range-keys")
+    usual = lefts.join(sizes.where("__short").select(*held), of_left or F.lit(True))
+    together = [col(x) == col(y) for x, y in on] + [F.col("__c") <= F.col("__b"), F.col("__a") <= F.col("__d")]
+    found = usual.join(rights, together).select(*names)
+    longer = sizes.where("NOT __short")
+    if longer.isEmpty():
+        return found
+    lefts = lefts.join(longer.select(*held), of_left or F.lit(True), "left_semi")
+    rights = rights.join(longer.select(*asked), of_right or F.lit(True), "left_semi")
     begun = _stab(lefts.withColumnsRenamed({"__a": "__from", "__b": "__to"}), rights.withColumn("__point", F.col("__c")), on, width)
     other = [(y, x) for x, y in on]
     later = _stab(rights.withColumnsRenamed({"__c": "__from", "__d": "__to"}), lefts.withColumn("__point", F.col("__a")), other, width, True)
-    return begun.select(*names).unionByName(later.select(*names))
+    return found.unionByName(begun.select(*names)).unionByName(later.select(*names))
