@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tracewell.columns import attach
-from tracewell.operators import ranges
+from tracewell.operators import connected, ranges
 from tracewell.operators.ordered import SLICE, Slices, add_slices
 from tracewell.plans.catalogue import all_queries
 
@@ -59,3 +59,19 @@ def test_usual_keys_of_overlaps_are_joined_as_they_are(spark, monkeypatch):
         assert sorted((r.i, r.j) for r in found.collect()) == sorted(wanted) and wanted
         assert len(used) == stabs
         monkeypatch.setattr(ranges, "_stab", stab)
+
+
+def test_rows_of_one_node_are_not_dealt_to_one_task(spark, monkeypatch):
+    random.seed(6)
+    links = [(0, i) for i in range(1, 200)] + [(500 + random.randrange(40), 500 + random.randrange(40)) for _ in range(30)] + [(900, 900), (None, 3)]
+    left: dict[int, int] = {}
+    root = lambda x: x if left.setdefault(x, x) == x else root(left[x])
+    for a, b in links[:-1]:
+        low, high = sorted((root(a), root(b)))
+        left[high] = low
+    table = spark.createDataFrame(links, "a long, b long")
+    told, plans = connected._told, []
+    monkeypatch.setattr(connected, "_told", lambda *a: (plans.append(told(*a)), plans[-1])[1])
+    for hot in (5, 100_000):
+        assert {r.node: r.root for r in connected.connected(table, hot).collect()} == {x: root(x) for x in left}
+    assert all("Broadcast" in plan_of(p) for p in plans)

@@ -116,15 +116,17 @@ def assign_seeds(rows: DataFrame, keys: Sequence[str], size: int, component_rows
     edges = edges.join(labels.select(ID), ID, "left_semi")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
     is_small = F.col("rows") <= component_rows
+    # At most a label per component_rows rows; the rows of one stay where they are.
+    long = F.broadcast(sizes.where(~is_small).select("label"))
     summary = sizes.agg(F.sum(F.when(is_small, F.col("rows"))).alias("small"), F.sum(F.when(~is_small, F.col("rows"))).alias("large")).first()
     if summary["small"]:
         # Four batches per limit, as hashing does not fill them evenly.
         batches = -(-4 * summary["small"] // component_rows)
-        small = labels.join(sizes.where(is_small), "label")
+        small = labels.join(long, "label", "left_anti")
         batch = F.pmod(F.xxhash64("label"), F.lit(batches)).alias("batch")
         result = result.unionByName(solve_in_tasks(wide_rows(edges).join(small, ID).select(ID, "lines", batch)))
     if summary["large"]:
-        large = labels.join(sizes.where(~is_small), "label")
+        large = labels.join(long, "label", "left_semi")
         blocks = -(-summary["large"] // component_rows)
         result = result.unionByName(solve_by_blocks(wide_rows(edges.join(large.select(ID), ID, "left_semi")), blocks))
     return result
