@@ -16,7 +16,7 @@ from tracewell.columns import col, cols
 from tracewell.operators.ordered import carry_last, plan_slices, running_totals
 from tracewell.operators.ranges import asof_join
 from tracewell.operators.rows import first_per_key
-from tracewell.session import cut_lineage
+from tracewell.session import cut_lineage, write_and_read
 
 
 @dataclass(frozen=True)
@@ -151,7 +151,7 @@ def forest(processes: DataFrame, names: ProcessColumns = ProcessColumns(), rows_
     asks = table.select(F.col("parent_pid").alias("pid"), "at", "row_id", F.lit(0).alias("side"), F.lit(None).cast(table.schema["row_id"].dataType).alias("mark"))
     held = carry_last(asks.unionByName(marks), ["pid"], ["at", "row_id", "side"], {"last": F.col("mark")}, rows_per_task)
     parent = F.when(F.col("pid").isNotNull() & F.col("at").isNotNull(), F.col("last"))
-    return cut_lineage(held.where("side = 0").select("row_id", parent.alias("parent_id"), "at"))
+    return write_and_read(held.where("side = 0").select("row_id", parent.alias("parent_id"), "at"), "forest")
 
 
 def _to_root(tree: DataFrame, weights: dict[str, str]) -> DataFrame:
@@ -162,13 +162,13 @@ def _to_root(tree: DataFrame, weights: dict[str, str]) -> DataFrame:
     """
     root = F.col("parent_id").isNull()
     sums = [F.when(root, F.lit(0)).otherwise(F.col(w)).cast("long").alias(n) for n, w in weights.items()]
-    state = cut_lineage(tree.select("row_id", F.coalesce("parent_id", "row_id").alias("up"), root.alias("done"), *sums))
+    state = write_and_read(tree.select("row_id", F.coalesce("parent_id", "row_id").alias("up"), root.alias("done"), *sums), "paths")
     while not state.where("NOT done").isEmpty():
         ahead = state.select(F.col("row_id").alias("up"), F.col("up").alias("next"), F.col("done").alias("there"), *[F.col(n).alias(f"more_{n}") for n in weights])
         moved = state.where("NOT done").join(ahead, "up").select(
             "row_id", F.col("next").alias("up"), F.col("there").alias("done"), *[(F.col(n) + F.col(f"more_{n}")).alias(n) for n in weights]
         )
-        state = cut_lineage(state.where("done").unionByName(moved))
+        state = write_and_read(state.where("done").unionByName(moved), "paths")
     return state.select("row_id", F.col("up").alias("root_id"), *weights)
 
 
@@ -197,15 +197,16 @@ def subtree_labels(
     else:
         values = processes.select(col(names.tie).alias("row_id"), col(names.time).alias("at"), col(value).cast("double").alias("total"))
         held = tree.join(first_per_key(values, ["row_id"], ["at", "total"]).drop("at"), "row_id", "left")
-    state = cut_lineage(held.select("row_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("size"), "total"))
+    state = write_and_read(held.select("row_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("size"), "total"), "subtrees")
     while not state.where("up IS NOT NULL").isEmpty():
         below = state.where("up IS NOT NULL").groupBy(F.col("up").alias("row_id")).agg(F.sum("size").alias("more"), F.sum("total").alias("sum"))
         farther = state.where("up IS NOT NULL").select(F.col("row_id").alias("up"), F.col("up").alias("next"))
-        state = cut_lineage(
+        state = write_and_read(
             state.join(below, "row_id", "left").join(farther, "up", "left").select(
                 "row_id", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
                 F.when(F.col("total").isNull(), F.col("sum")).otherwise(F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"),
-            )
+            ),
+            "subtrees",
         )
     sized = tree.join(state.select("row_id", "size"), "row_id")
     children = running_totals(sized.where("parent_id IS NOT NULL"), ["parent_id"], ["at", "row_id"], {"upto": F.col("size")}, rows_per_task=rows_per_task)
