@@ -73,3 +73,31 @@ def test_no_keys_text_values_and_no_rows(spark):
     assert none.count() == 0 and none.columns == ["id", "s", "n", "m"]
     nulls = moving_holistic(df.withColumn("v", df["id"].cast("double") * float("nan")).selectExpr("id", "nullif(v, v) AS v"), [], ["id"], {"m": Quantile("v", Frame(3, 3))})
     assert nulls.where("m IS NOT NULL").count() == 0
+
+
+def long_and_short(spark, kinds):
+    rows = [("hot", i, i // 3 if i % 23 else None, None if i % 11 == 4 else float(i * 37 % kinds)) for i in range(150)] + [("b", 1000 + i, i, 1.0) for i in range(5)]
+    return rows, spark.createDataFrame(rows, "k string, id long, t long, v double").repartition(3)
+
+
+def test_rounds_do_not_grow_with_the_values(spark):
+    jobs = []
+    for kinds in (3, 150):
+        spark.sparkContext.setJobGroup(f"frames-{kinds}", "frames")
+        moving_holistic(long_and_short(spark, kinds)[1], ["k"], ["t", "id"], {"m": Quantile("v", Frame(90, 30))})
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"frames-{kinds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[0] - jobs[1]) <= 2, jobs
+
+
+def test_many_slices_between_the_ends(spark):
+    rows, df = long_and_short(spark, 40)
+    frames = {"wide": Frame(70, 30), "sofar": Frame(None, 0), "near": Frame(18, 9, True)}
+    results = {f"m_{n}": Quantile("v", f, 0.37) for n, f in frames.items()} | {f"d_{n}": Distinct("v", f) for n, f in frames.items()}
+    found = {r["id"]: r for r in moving_holistic(df, ["k"], ["t", "id"], results, 11).collect()}
+    assert len(found) == len(rows)
+    for n, frame in frames.items():
+        some, kinds = plain(rows, n, frame, lambda v: quantile(v, 0.37)), plain(rows, n, frame, lambda v: len(set(v)))
+        for i, r in found.items():
+            assert r[f"d_{n}"] == kinds[i], (n, i)
+            assert (r[f"m_{n}"] is None) == (some[i] is None) and (some[i] is None or math.isclose(r[f"m_{n}"], some[i], abs_tol=1e-9)), (n, i)
