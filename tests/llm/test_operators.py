@@ -9,12 +9,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions
 
 from tracewell.llm import search
 from tracewell.llm.common import saved
 from tracewell.llm.html import extract, extract_pages
 from tracewell.llm.language import certain_sums, fit, label_rows, marginal_sums, training_windows
-from tracewell.llm.lines import _bands, line_groups, without_repeated_lines
+from tracewell.llm.lines import _bands, _hashes, line_groups, without_repeated_lines
 from tracewell.llm.lm import backoff_scores
 from tracewell.llm.mixing import mix_sources, mixed_documents
 from tracewell.llm.neighbours import nearest
@@ -350,6 +351,25 @@ def test_lines_alike_but_for_their_latin_tails(spark):
     assert {r.doc_id: r.keeper_id for r in got} == {0: 0, 1: 0}
 
 
+def test_lines_with_characters_beyond_two_bytes(spark):
+    chance, rows = random.Random(5), []
+    for family in range(12):
+        tail = "".join(chance.choices("abcdefghij ", k=99)) + "."
+        rows += [(2 * family + k, "".join(chr(chance.randint(0x1F300, 0x1F5FF)) for _ in range(10)) + tail) for k in range(2)]
+    rows += [(100, "kurz"), (101, "äöü" * 9), (102, "abcdefgh"), (103, "a\tb c")]
+    table = spark.createDataFrame(rows, "line_key long, line string")
+    for r in table.select("line", functions.size(functions.array_distinct(_hashes(functions.col("line")))).alias("n")).collect():
+        assert r.n == len(shingle_set(r.line)), r
+    bands = defaultdict(set)
+    for r in _bands(table).collect():
+        bands[r.line_key].add(r.band)
+    found = [a for a in range(0, 24, 2) if bands[a] & bands[a + 1]]
+    keepers = {r.doc_id: r.keeper_id for r in line_groups(table.selectExpr("line_key doc_id", "line text")).collect()}
+    sets = [shingle_set(line) for _, line in rows]
+    assert found and all(len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1]) for a in found)
+    assert all(keepers[a] == keepers[a + 1] for a in found)
+
+
 def test_packing(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
