@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions
 
 from tracewell.llm import search
-from tracewell.llm.common import saved
+from tracewell.llm.common import DROP_SHUFFLES, bucketed, saved
 from tracewell.llm.html import extract, extract_pages
 from tracewell.llm.language import certain_sums, fit, label_rows, marginal_sums, training_windows
 from tracewell.llm.lines import _bands, _hashes, line_groups, without_repeated_lines
@@ -142,6 +143,26 @@ def test_equal_keys_with_different_texts_are_mixed_alike_in_every_run(spark):
     assert Counter(mixed_documents(docs).collect()) == Counter(mixed_documents(docs.repartition(4, "text")).collect())
 
 
+def test_written_steps_leave_no_shuffle_files(spark):
+    """Shuffle files of a step that has been written are gone, before the driver collects any garbage; the session's setting stays as it was."""
+
+    def shuffled() -> int:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    setting = spark.conf.get(DROP_SHUFFLES)
+    rows = spark.range(5000).select((functions.col("id") % 700).alias("k"), "id").groupBy("k").agg(functions.sum("id").alias("s"))
+    joined = rows.join(rows.withColumnRenamed("s", "t"), "k")
+    for write in (saved, lambda df, label: bucketed(df, "k", label)):
+        before = shuffled()
+        made = write(joined, "tried")
+        for _ in range(50):  # the files go a moment later
+            if shuffled() > before:
+                time.sleep(0.1)
+        assert shuffled() <= before and spark.conf.get(DROP_SHUFFLES) == setting
+        assert sorted((r.k, r.s, r.t) for r in made.collect()) == sorted((r.k, r.s, r.s) for r in rows.collect())
+
+
 def test_search_reads_frequent_terms_only_where_they_matter(monkeypatch):
     """Two rare words are in all blocks, but never in one document: no frequent word has to be read."""
     common = [f"c{i}" for i in range(20)]
